@@ -43,6 +43,8 @@ COORDINATES, MATCHES = 16, 5
 PERCENT = 75
 ROUNDS = 3
 BLOCK = 1000
+#: Buckets of up to so many members are compared by a plain join, larger ones in blocks.
+SMALL = 32
 _SEED = [(0x9E3779B97F4A7C15 * (2 * c + 1)) & (2**64 - 1) for c in range(COORDINATES)]
 _ODD = [((0xD6E8FEB86659FD93 * (2 * c + 3)) | 1) & (2**64 - 1) for c in range(COORDINATES)]
 
@@ -163,6 +165,12 @@ def near_links(ws: Workspace, docs: DataFrame, signed: DataFrame, rounds: int =
     per = labelled.groupBy("key", "component").count()
     mixed = ws.keep(per.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.sum("count").alias("n"), F.count("*").alias("parts")).where("parts > 1").withColumnRenamed("key", "of"))
     member = labelled.join(mixed, F.col("key") == F.col("of"))
+    few = ws.keep(member.where(F.col("n") <= SMALL).select("key", "id", "component", "largest"))
+    far = few.select(F.col("key").alias("of"), F.col("id").alias("id2"), F.col("component").alias("component2"))
+    close = few.where("component <> largest").join(far, (F.col("key") == F.col("of")) & (F.col("component") != F.col("component2")))
+    edges = ws.keep(edges.union(_confirmed(ws, close.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), keys, shingles)))
+    mixed = mixed.where(F.col("n") > SMALL)
+    member = labelled.join(mixed, F.col("key") == F.col("of"))
     # agreement of MATCHES coordinates first, on postings alone, so that shared passages cost no sets
     outer = ws.keep(member.where("component <> largest").select("key", "id", "component"))
     other = member.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))

@@ -10,9 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphflow.llm.brown_lm import score_texts
 from glyphflow.llm.exact_dedup import find_copies
+from glyphflow.llm.html_text import extract_main_text
+from glyphflow.llm.line_dedup import dedup_lines
 from glyphflow.llm.minhash_join import near_duplicates
+from glyphflow.llm.mixing import label_domains, mix
 from glyphflow.llm.packing import pack
+from glyphflow.llm.pii import find_personal_data
 from glyphflow.llm.quality import score_quality
 from glyphflow.llm.token_files import token_files
 
@@ -21,6 +26,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir), label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_documents(spark, sf_dir))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -29,10 +46,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_documents(spark, sf_dir))
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_documents(spark, sf_dir))
 
