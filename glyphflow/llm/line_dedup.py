@@ -28,7 +28,7 @@ from glyphflow.llm.graph import components
 from glyphflow.plans.staging import Workspace, broadcast_if_small
 
 EDITS, MIN_CHARS = 2, 24
-_LETTERS = "aeinorst"
+_LETTERS = "aent"
 _BITS = 2 * EDITS + 4
 _MASK = (1 << _BITS) - 1
 
@@ -41,8 +41,8 @@ def _segments(length: Column) -> list[tuple[Column, Column]]:
 
 
 def postings(line: Column, length: Column) -> Column:
-    """An array of (key, own): own marks the line's own segments, the others only probe."""
-    out = []
+    """An array of keys: first the line's own segments (EDITS + 1), then other probes."""
+    own, probes = [], []
     for less in range(EDITS + 1):
         of = length - less
         for number, (start, size) in enumerate(_segments(of), 1):
@@ -50,12 +50,12 @@ def postings(line: Column, length: Column) -> Column:
             high = min(number - 1, less + (EDITS + 1 - number))
             for shift in range(low, high + 1):
                 key = F.xxhash64(of, F.lit(number), F.substring(line, start + shift, size))
-                out.append(F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("own")))
-    return F.array(*out)
+                (own if less == shift == 0 else probes).append(key)
+    return F.array(*own, *probes)
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of eight frequent letters, a byte each (at most 127)."""
+    """Counts of four frequent letters, a byte each (at most 127)."""
     total = F.lit(0).cast("long")
     for k, x in enumerate(_LETTERS):
         n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))), F.lit(127)).cast("long")
@@ -91,15 +91,12 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
     """
     bits, mask = 2 * edits + 4, (1 << (2 * edits + 4)) - 1
     top = 1 << (bits - 1)
-    at = F.regexp_extract_all(a, F.lit("(?s)."), F.lit(0))
-    bt = F.regexp_extract_all(b, F.lit("(?s)."), F.lit(0))
-    n, m = F.length(a), F.length(b)
     long = lambda x: F.lit(x).cast("long")
 
     def let(value: Column, use) -> Column:
         return F.element_at(F.transform(F.array(value), use), 1)
 
-    def column(acc: Column, j: Column) -> Column:
+    def column(acc: Column, j: Column, at: Column, bt: Column, n: Column) -> Column:
         match = long(0)
         for bit in range(bits):
             i = j + (edits - (bits - 1 - bit))
@@ -129,26 +126,34 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
         return F.when(acc.score > 3 * edits, acc).otherwise(let(match, with_match))
 
     first = F.struct(long(mask ^ ((1 << (bits - edits - 1)) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("score"))
-    end = F.aggregate(F.sequence(F.lit(1), m), first, column)
-    return F.when(F.abs(n - m) > edits, False).when(n <= edits, F.levenshtein(a, b) <= edits).when(m == 0, n <= edits).otherwise(end.score <= edits)
+
+    def whole(s: Column) -> Column:
+        n, m = F.size(s.at), F.size(s.bt)
+        end = F.aggregate(F.sequence(F.lit(1), m), first, lambda acc, j: column(acc, j, s.at, s.bt, n))
+        return F.when(F.abs(n - m) > edits, False).when(n <= edits, F.levenshtein(s.a, s.b) <= edits).when(m == 0, n <= edits).otherwise(end.score <= edits)
+
+    # bound once, or the characters would be split anew for each column
+    every = F.lit("(?s).")
+    return let(F.struct(F.regexp_extract_all(a, every, F.lit(0)).alias("at"), F.regexp_extract_all(b, every, F.lit(0)).alias("bt"), a.alias("a"), b.alias("b")), whole)
 
 
 def line_links(ws: Workspace, lines: DataFrame, docs_lines) -> DataFrame:
     """Links (a, b) between ids of different lines within EDITS."""
-    distinct = docs_lines().where(F.length("line") >= MIN_CHARS).select("line").distinct()
-    n = F.length("line")
-    post = distinct.select(F.xxhash64("line").alias("id"), letter_counts(F.col("line")).alias("letters"), F.explode(postings(F.col("line"), n)).alias("p")).select("id", "letters", "p.key", "p.own")
-    post = ws.keep(post)
-    own = post.where("own").select(F.col("id").alias("id2"), F.col("letters").alias("letters2"), F.col("key").alias("key2"))
+    # the length goes along, since each use would count the characters again
+    distinct = docs_lines().select("line", F.length("line").alias("n")).where(F.col("n") >= MIN_CHARS).distinct()
+    # staged before they are exploded, or the line would go along with each posting
+    keyed = ws.keep(distinct.select(F.xxhash64("line").alias("id"), letter_counts(F.col("line")).alias("letters"), postings(F.col("line"), F.col("n")).alias("keys")))
+    post = keyed.select("id", "letters", F.posexplode("keys").alias("pos", "key"))
+    own = post.where(F.col("pos") <= EDITS).select(F.col("id").alias("id2"), F.col("letters").alias("letters2"), F.col("key").alias("key2"))
     met = post.join(own, (F.col("key") == F.col("key2")) & (F.col("id") != F.col("id2")) & _may_link(F.col("letters"), F.col("letters2")))
     pairs = ws.keep(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    ws.drop(post)
+    ws.drop(keyed)
     ids = ws.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     text = docs_lines().where(F.length("line") >= MIN_CHARS).withColumn("id", F.xxhash64("line")).join(broadcast_if_small(ids, 8), "id", "left_semi").select("id", "line").distinct()
     text = ws.keep(text)
     both = pairs.join(text.select(F.col("id").alias("ia"), F.col("line").alias("la")), F.col("a") == F.col("ia")).join(text.select(F.col("id").alias("ib"), F.col("line").alias("lb")), F.col("b") == F.col("ib"))
     cut = both.select("a", "b", "la", "lb", common_start(F.col("la"), F.col("lb")).alias("k"))
-    rest = cut.select("a", "b", F.expr("substring(la, k + 1)").alias("ra"), F.expr("substring(lb, k + 1)").alias("rb"))
+    rest = ws.keep(cut.select("a", "b", F.expr("substring(la, k + 1)").alias("ra"), F.expr("substring(lb, k + 1)").alias("rb")))
     return ws.keep(rest.where(within_edits(F.col("ra"), F.col("rb"))).select("a", "b"))
 
 
