@@ -1,4 +1,9 @@
 """All queries by name, and the SQL each is compared with."""
 
+from glyphflow.plans import lexicon, library, texts
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _part in (texts, library, lexicon):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
