@@ -28,7 +28,7 @@ from glyphflow.llm.graph import components
 from glyphflow.plans.staging import Workspace, broadcast_if_small
 
 EDITS, MIN_CHARS = 2, 24
-_LETTERS = "aent"
+_LETTERS = "aeinorst"
 _BITS = 2 * EDITS + 4
 _MASK = (1 << _BITS) - 1
 
@@ -55,19 +55,20 @@ def postings(line: Column, length: Column) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of four frequent letters, a byte each (at most 127)."""
-    total = F.lit(0).cast("long")
+    """Counts of eight frequent letters modulo 16, four bits each."""
+    total = F.lit(0)
     for k, x in enumerate(_LETTERS):
-        n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))), F.lit(127)).cast("long")
-        total = total.bitwiseOR(F.shiftleft(n, 8 * k))
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))).bitwiseAND(F.lit(15))
+        total = total.bitwiseOR(F.shiftleft(n, 4 * k))
     return total
 
 
 def _may_link(a: Column, b: Column) -> Column:
     """False if the letters' counts differ by more than two for each edit."""
-    total = F.lit(0).cast("long")
+    total = F.lit(0)
     for k in range(len(_LETTERS)):
-        total = total + F.abs(F.shiftright(a, 8 * k).bitwiseAND(F.lit(127)) - F.shiftright(b, 8 * k).bitwiseAND(F.lit(127)))
+        apart = (F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15))).bitwiseAND(F.lit(15))
+        total = total + F.least(apart, F.lit(16) - apart)  # round the circle, so never more than the true difference
     return total <= 2 * EDITS
 
 
@@ -137,7 +138,7 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
     return let(F.struct(F.regexp_extract_all(a, every, F.lit(0)).alias("at"), F.regexp_extract_all(b, every, F.lit(0)).alias("bt"), a.alias("a"), b.alias("b")), whole)
 
 
-def line_links(ws: Workspace, lines: DataFrame, docs_lines) -> DataFrame:
+def line_links(ws: Workspace, docs_lines) -> DataFrame:
     """Links (a, b) between ids of different lines within EDITS."""
     # the length goes along, since each use would count the characters again
     distinct = docs_lines().select("line", F.length("line").alias("n")).where(F.col("n") >= MIN_CHARS).distinct()
@@ -171,8 +172,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
     blank = ~F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    links = line_links(ws, docs_lines)
     lines = ws.keep(docs_lines().select("doc_id", "pos", F.xxhash64("line").alias("id"), F.length("line").alias("n"), blank.alias("blank")))
-    links = line_links(ws, lines, docs_lines)
     comp = components(ws, links)
     both = links.select(F.col("a").alias("x")).union(links.select("b"))
     degree = ws.keep(comp.join(both.groupBy("x").count(), F.col("id") == F.col("x")).select(F.col("id").alias("cid"), "component", "count"))
