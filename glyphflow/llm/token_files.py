@@ -40,7 +40,7 @@ MAGIC, VERSION = b"GFTK", 1
 HEAD, ROW, FOOT = struct.Struct("<4sHH32s"), np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")]), struct.Struct("<QQ4s")
 SAMPLE_DOCS = 2000
 SAMPLE_IDS = 4000
-DICT_BYTES = 64 << 10
+DICT_BYTES = 32 << 10
 LEVEL = 3
 SHARD_DOCS = 200_000
 
@@ -96,7 +96,10 @@ def shard_bytes(docs: Iterator[tuple[int, np.ndarray]], dictionary: bytes, width
     """The bytes of one shard; into gets (documents, ids)."""
     import zstandard
 
-    zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=_zdict(dictionary), write_checksum=False, write_content_size=True)
+    shared = _zdict(dictionary)
+    if shared is not None:
+        shared.precompute_compress(level=LEVEL)  # else each document would digest it anew
+    zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=False, write_content_size=True)
     yield HEAD.pack(MAGIC, VERSION, width, hashlib.sha256(dictionary).digest())
     at, rows, total = HEAD.size, [], 0
     for doc_id, ids in docs:

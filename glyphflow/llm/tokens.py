@@ -1,19 +1,23 @@
 """Token ids of whole texts by a public word-level BPE, with words encoded once.
 
 The vocabulary's rules drop white space between words, so the ids of a text are those of
-its space-separated pieces in order. Each Python worker keeps the pieces it has met;
-pieces not met yet go to the library in one batch. The table of pieces is emptied when
-it holds CACHE_PIECES, so memory does not follow the corpus.
+its space-separated pieces in order. Each Python worker keeps the pieces it has met
+lately; others go to the library together.
 """
 
 from __future__ import annotations
 
+import os
+import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
+MARK = "\x01"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -22,36 +26,72 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: A comma or full stop between a letter or digit and white space is a word of its own.
+_STOP = re.compile("(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])(?=[ \n])")
+
+
+def pieces_of(text: str) -> list[str]:
+    """Pieces whose ids, in order, are those of the text.
+
+    A-Z are lowered and such stops cut off, as the vocabulary's own rules would do, so
+    that fewer different pieces are met. Texts that may hold a special token are only cut.
+    """
+    if "<|" not in text:
+        text = _STOP.sub(r" \1", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    return text.replace("\n", " ").split(" ")
+
+
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, END_ID last."""
+    """Encodes texts to little-endian unsigned 32-bit ids, END_ID last.
+
+    Pieces met lately are kept in two generations of CACHE_PIECES; when the younger one is
+    full it becomes the older one, so frequent pieces stay and memory is bounded.
+    """
 
     def __init__(self, path: str | None = None, end_id: int = END_ID):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks take the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
         self.end = array("I", [end_id]).tobytes()
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. Plain pieces are encoded in one text with marks between them."""
+        if self.mark is None or any(MARK in p or "<|" in p for p in pieces):
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(pieces), add_special_tokens=False).ids, "<u4")
+        cut = np.flatnonzero(ids == self.mark)
+        if len(cut) != len(pieces) - 1:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        data = ids.tobytes()
+        return [data[4 * i : 4 * j] for i, j in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)])]
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self.known = {"": b""}
-        todo = [p for p in pieces if p not in self.known]
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            for piece, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[piece] = array("I", got.ids).tobytes()
+    def _learn(self, new: set[str]) -> None:
+        todo = []
+        for p in new:
+            got = self.older.get(p)
+            if got is None:
+                todo.append(p)
+            else:
+                self.known[p] = got
+        odd = [p for p in todo if MARK in p or "<|" in p]
+        plain = [p for p in todo if not (MARK in p or "<|" in p)] if odd else todo
+        for part in [odd, *(plain[at : at + 2000] for at in range(0, len(plain), 2000))]:
+            if part:
+                self.known.update(zip(part, self._library(part)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text counts as empty and gives the end id alone."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for pieces in split:
-            new.update(pieces)
+        split = [pieces_of(t or "") for t in texts]
+        if len(self.known) > CACHE_PIECES:
+            self.known, self.older = {"": b""}, self.known
+        new: set[str] = set().union(*split) if split else set()
         new.difference_update(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHE_PIECES:
-                new = set().union(*split) if len(split) else new
-            self._learn(new)
+        self._learn(new)
         known = self.known
         return [b"".join([known[p] for p in pieces]) + self.end for pieces in split]
 
