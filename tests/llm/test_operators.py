@@ -1,0 +1,303 @@
+"""The corpus operators against brute force, on small tables with the odd cases in them:
+nulls, empty and long texts, ties, repeated rows, clashing column names, empty tables."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from array import array
+from collections import Counter
+
+import pytest
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def corpus():
+    r = random.Random(11)
+    vocab = ["".join(r.choice("aeinorst") for _ in range(r.randint(2, 6))) for _ in range(400)]
+    base = [" ".join(r.choice(vocab) for _ in range(r.randint(12, 80))) for _ in range(25)]
+    texts = list(base)
+    for t in base[:12]:
+        w = t.split()
+        for _ in range(3):
+            v = list(w)
+            v[r.randrange(len(v))] = "zz"
+            texts.append(" ".join(v))
+    texts += [base[0], base[0], base[1], None, "", " \n ", "One", "one", "a b c", "A B C", "x " * 3000, "line of some thirty characters\nline of some thirty charactres\nok", "É. b, c.\n\n+1 (974) 555-3436 and a.b@c.example.org 10.0.0.256; 4111 1111 1111 1111"]
+    return [(k, t, "n", 5) for k, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), "doc_id long, text string, n string, count int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("doc_id < 0")
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_quality(docs, empty):
+    from glyphflow.llm.quality import score_quality
+
+    got = by_id(score_quality(docs))
+    for i, t, *_ in corpus():
+        t = t or ""
+        w = WORD.findall(t)
+        c = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        hit = {k + j for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        want = (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w))
+        g = got[i]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == want
+        assert not (g.base_failed and g.kept)
+    assert score_quality(empty).count() == 0
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_copies(docs, empty, weak):
+    from pyspark.sql import functions as F
+
+    from glyphflow.llm.exact_dedup import drop_copies, find_copies
+
+    got = by_id(find_copies(docs, fp=lambda c: F.length(c).cast("long")) if weak else find_copies(docs))
+    groups = {}
+    for i, t, *_ in corpus():
+        groups.setdefault(t or "", []).append(i)
+    for i, t, *_ in corpus():
+        g = groups[t or ""]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256) == (max(g), len(g), i == max(g), hashlib.sha256((t or "").encode()).hexdigest())
+    if not weak:
+        kept = drop_copies(docs)
+        assert kept.columns == docs.columns and kept.count() == len(groups)
+        assert find_copies(empty).count() == 0
+
+
+def test_near_duplicates(docs, empty):
+    from glyphflow.llm.minhash_join import drop_near_duplicates, near_duplicates
+
+    sets = {}
+    for i, t, *_ in corpus():
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = by_id(near_duplicates(docs))
+    for i in sets:
+        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), find(i), find(i) == i)
+    assert drop_near_duplicates(docs).count() == len({find(i) for i in sets})
+    assert near_duplicates(empty).count() == 0
+
+
+def test_blocks_agree_with_plain_join(docs, monkeypatch):
+    from glyphflow.llm import minhash_join as M
+
+    want = {i: r.component_id for i, r in by_id(M.near_duplicates(docs)).items()}
+    monkeypatch.setattr(M, "SMALL", 0)
+    monkeypatch.setattr(M, "ROUNDS", 1)
+    monkeypatch.setattr(M, "BLOCK", 2)
+    assert {i: r.component_id for i, r in by_id(M.near_duplicates(docs)).items()} == want
+
+
+@pytest.fixture(scope="module")
+def ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x, *_ in corpus()}
+
+
+def test_token_files_round_trip(docs, empty, ids):
+    from glyphflow.llm.token_files import token_files
+
+    got, at = by_id(token_files(docs)), 0
+    for i in sorted(ids):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids[i]), zlib.crc32(array("I", ids[i]).tobytes()))
+        at += len(ids[i])
+    assert token_files(empty).count() == 0
+
+
+def test_packing_covers_every_id_once(docs, empty, ids):
+    from glyphflow.llm.packing import pack
+
+    rows = pack(docs).collect()
+    cover, seqs = {}, {}
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(array("I", ids[r.doc_id][r.start : r.start + r.length]).tobytes())
+        cover.setdefault(r.doc_id, []).append((r.start, r.length))
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans, totals in ((cover, {i: len(x) for i, x in ids.items()}), (seqs, None)):
+        for k, v in spans.items():
+            at = 0
+            for start, n in sorted(v):
+                assert start == at
+                at += n
+            assert at <= 2048 if totals is None else at == totals[k]
+    assert sorted(seqs) == list(range(len(seqs))) and set(cover) == set(ids)
+    assert pack(empty).count() == 0
+
+
+def test_fill_uses_every_length_once():
+    from glyphflow.llm.packing import fill
+
+    r = random.Random(2)
+    counts = {r.randrange(1, 60): r.randrange(1, 9) for _ in range(25)}
+    used = Counter()
+    for times, pick in fill(dict(counts), 60):
+        assert times >= 1 and sum(k * n for k, n in pick.items()) <= 60
+        used.update({k: n * times for k, n in pick.items()})
+    assert used == counts
+
+
+def test_class_model(docs, empty):
+    from glyphflow.llm.brown_lm import score_texts
+
+    words = {i: [*WORD.findall((t or "").translate(LOWER)), "\n"] for i, t, *_ in corpus()}
+    out = {i for i in words if zlib.crc32(str(i).encode()) % 5 == 1}
+    c = Counter(w for i, x in words.items() if i not in out for w in x)
+    n, v = sum(c.values()), len(c)
+    got = by_id(score_texts(docs))
+    for i, x in words.items():
+        g = got[i]
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (i in out, len(x), sum(c[w] > 0 for w in x), n)
+        assert math.isclose(g.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), rel_tol=1e-9)
+        assert math.isfinite(g.score) and g.score < 0
+    assert score_texts(empty).count() == 0
+
+
+def test_mixing_meets_targets(spark, docs, empty):
+    from glyphflow.llm.mixing import apply_mix, mix
+
+    labels = spark.createDataFrame([(k, "a" if k % 2 else "b") for k in range(30)] + [(None, "a"), (3, None), (5, "a")], "doc_id long, domain string")
+    got = mix(docs, labels, keep={"a": 0.5, "b": 1.5}).collect()
+    assert len(got) == len(corpus()) and all(r.rate >= 0 for r in got)
+    for name, share in (("a", 0.5), ("b", 1.5)):
+        now = sum(r[f"p_{name}"] * r.n_tokens for r in got)
+        assert math.isclose(sum(r[f"p_{name}"] * r.n_tokens * r.rate for r in got), share * now, rel_tol=1e-4)
+    assert apply_mix(docs, labels).columns == docs.columns
+    assert mix(empty, labels).count() == 0
+
+
+def test_personal_data(docs, empty):
+    from glyphflow.llm.pii import emails, find_personal_data, find_spans
+
+    got = by_id(find_personal_data(docs))
+    last = got[max(got)]
+    assert (last.n_email, last.n_ip, last.n_card, last.n_phone) == (1, 0, 1, 1)
+    assert got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    r = random.Random(4)
+    for _ in range(3000):
+        t = "".join(r.choice("ab@. é") for _ in range(25))
+        assert list(emails(t)) == [m.span() for m in pattern.finditer(t)]
+    assert find_spans("a" * 200_000 + "1" * 200_000, {}) == ([], [])
+    assert find_personal_data(empty).count() == 0
+
+
+def test_page_text(spark):
+    from glyphflow.llm.html_text import extract_main_text, main_text
+
+    page = """<head><title>T</title></head><header><h1>Site</h1></header><div id=cookie-notice>we use</div><main><div class="post"><h1>A&amp;B</h1><p>one <i>two</i>
+ three<p>five<table><tr><td>x<td>y</table></div><div class="comments"><p>bad</div></main><aside>s</aside><script>var t="</p>";</script>"""
+    assert main_text(page) == "A&B\none two three\nfive\nx\ny"
+    rows = [(k, f"http://h.example/{k}", f"<body><div><b>Welcome to our site</b></div><div><p>text number {k} of this page is long enough</p></div>") for k in range(8)] + [(8, None, None), (9, "x", "")]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"text number {k} of this page is long enough" for k in range(8)} | {8: "", 9: ""}
+
+
+def test_banded_edit_distance(spark):
+    from pyspark.sql import functions as F
+
+    from glyphflow.llm.line_dedup import within_edits
+
+    r = random.Random(3)
+    pairs = []
+    for _ in range(500):
+        a = [r.choice("abé") for _ in range(r.randint(0, 40))]
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            b.insert(r.randrange(len(b) + 1), r.choice("ab"))
+            if r.random() < 0.5:
+                b.pop(r.randrange(len(b)))
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.where(within_edits(F.col("a"), F.col("b")) != (F.levenshtein("a", "b") <= 2)).count() == 0
+
+
+def test_line_dedup(docs, empty):
+    from glyphflow.llm.line_dedup import dedup_lines
+
+    lines = [(i, p, x) for i, t, *_ in corpus() for p, x in enumerate((t or "").split("\n"))]
+    texts = sorted({x for _, _, x in lines if len(x) >= 24})
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 2:
+            return False
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d, before = [i], d
+            for j, y in enumerate(b, 1):
+                d.append(min(before[j] + 1, d[-1] + 1, before[j - 1] + (x != y)))
+            if min(d) > 2:
+                return False
+        return d[-1] <= 2
+
+    root = {x: x for _, _, x in lines}
+    degree = Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(texts):
+        for b in texts[k + 1 :]:
+            if near(a, b):
+                degree[a] += 1
+                degree[b] += 1
+                root[find(b)] = find(a)
+    seen, removed, links = set(), Counter(), Counter()
+    for i, _, x in lines:
+        links[i] += degree[x]
+        if WORD.search(x):
+            removed[i] += find(x) in seen
+            seen.add(find(x))
+    got = by_id(dedup_lines(docs))
+    assert {i: (r.n_removed, r.n_links) for i, r in got.items()} == {i: (removed[i], links[i]) for i, *_ in corpus()}
+    assert dedup_lines(empty).count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as C
+
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, n string, count int").where("doc_id >= 0")
+    labels = spark.createDataFrame([(k, 1, int(k == 3)) for k in range(20)], "doc_id long, quality int, toxic int")
+    from glyphflow.plans.staging import Workspace
+
+    ws = Workspace(spark, "test")
+    root = f"{ws.root}/in"
+    labels.write.parquet(f"{root}/labels.parquet")
+    n = docs.count()
+    for name, stage in C.STAGES[:-1]:
+        out = ws.keep(stage(spark, docs, root))
+        assert out.columns == docs.columns and 0 < out.count() <= n, name
+        docs = out
+    assert [x for x, _ in C.STAGES] == ["quality_rules", "exact_dedup", "minhash_near_dedup", "target_mixing", "packing"]
