@@ -28,6 +28,8 @@ from glyphflow.llm.graph import components
 from glyphflow.plans.staging import Workspace, broadcast_if_small
 
 EDITS, MIN_CHARS = 2, 24
+#: The first postings of a line that look for lines as long as itself: its own segments and two shifted ones.
+SAME_LENGTH = 5
 _LETTERS = "aeinorst"
 _BITS = 2 * EDITS + 4
 _MASK = (1 << _BITS) - 1
@@ -146,7 +148,9 @@ def line_links(ws: Workspace, docs_lines) -> DataFrame:
     keyed = ws.keep(distinct.select(F.xxhash64("line").alias("id"), letter_counts(F.col("line")).alias("letters"), postings(F.col("line"), F.col("n")).alias("keys")))
     post = keyed.select("id", "letters", F.posexplode("keys").alias("pos", "key"))
     own = post.where(F.col("pos") <= EDITS).select(F.col("id").alias("id2"), F.col("letters").alias("letters2"), F.col("key").alias("key2"))
-    met = post.join(own, (F.col("key") == F.col("key2")) & (F.col("id") != F.col("id2")) & _may_link(F.col("letters"), F.col("letters2")))
+    # lines of one length would meet from both sides; one is enough
+    once = F.when(F.col("pos") < SAME_LENGTH, F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2"))
+    met = post.join(own, (F.col("key") == F.col("key2")) & once & _may_link(F.col("letters"), F.col("letters2")))
     pairs = ws.keep(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
     ws.drop(keyed)
     ids = ws.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
