@@ -30,7 +30,7 @@ from glyphflow.plans.staging import Workspace, broadcast_if_small
 EDITS, MIN_CHARS = 2, 24
 #: The first postings of a line that look for lines as long as itself: its own segments and two shifted ones.
 SAME_LENGTH = 5
-_LETTERS = "aeinorst"
+_LETTERS = "aeinorstlduc"
 _BITS = 2 * EDITS + 4
 _MASK = (1 << _BITS) - 1
 
@@ -57,21 +57,18 @@ def postings(line: Column, length: Column) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of eight frequent letters modulo 16, four bits each."""
+    """Counts of twelve frequent letters modulo 4, as two bits each in Gray code."""
     total = F.lit(0)
     for k, x in enumerate(_LETTERS):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))).bitwiseAND(F.lit(15))
-        total = total.bitwiseOR(F.shiftleft(n, 4 * k))
-    return total
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))).bitwiseAND(F.lit(3))
+        total = total.bitwiseOR(F.shiftleft(n, 2 * k))
+    # neighbours round the circle 0, 1, 2, 3 differ in one bit of the code
+    return total.bitwiseXOR(F.shiftright(total, 1).bitwiseAND(F.lit(0x15555555)))
 
 
 def _may_link(a: Column, b: Column) -> Column:
-    """False if the letters' counts differ by more than two for each edit."""
-    total = F.lit(0)
-    for k in range(len(_LETTERS)):
-        apart = (F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15))).bitwiseAND(F.lit(15))
-        total = total + F.least(apart, F.lit(16) - apart)  # round the circle, so never more than the true difference
-    return total <= 2 * EDITS
+    """False if the letters' counts differ by more than two for each edit: round the circle, so never more than the true difference."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * EDITS
 
 
 def common_start(a: Column, b: Column) -> Column:
