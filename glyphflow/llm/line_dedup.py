@@ -30,7 +30,7 @@ from glyphflow.plans.staging import Workspace, broadcast_if_small
 EDITS, MIN_CHARS = 2, 24
 #: The first postings of a line that look for lines as long as itself: its own segments and two shifted ones.
 SAME_LENGTH = 5
-_LETTERS = "aeinorstlduc"
+_LETTERS = "aeinorstlu"
 _BITS = 2 * EDITS + 4
 _MASK = (1 << _BITS) - 1
 
@@ -57,7 +57,7 @@ def postings(line: Column, length: Column) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of twelve frequent letters modulo 4, as two bits each in Gray code."""
+    """Counts of ten frequent letters modulo 4, as two bits each in Gray code."""
     total = F.lit(0)
     for k, x in enumerate(_LETTERS):
         n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))).bitwiseAND(F.lit(3))
