@@ -45,23 +45,32 @@ def _segments(length: Column) -> list[tuple[Column, Column]]:
 def postings(line: Column, length: Column) -> Column:
     """An array of keys: first the line's own segments (EDITS + 1), then other probes."""
     own, probes = [], []
+    # a part of the line around all places of one segment, since a substring costs the length of what it is cut from
+    margin = 2 * EDITS
+    parts = []
+    for start, size in _segments(length):
+        first = F.greatest(F.lit(1), start - margin)
+        parts.append((first, F.substring(line, first, size + 3 * margin)))
     for less in range(EDITS + 1):
         of = length - less
         for number, (start, size) in enumerate(_segments(of), 1):
+            first, part = parts[number - 1]
             low = max(1 - number, less - (EDITS + 1 - number))
             high = min(number - 1, less + (EDITS + 1 - number))
             for shift in range(low, high + 1):
-                key = F.xxhash64(of, F.lit(number), F.substring(line, start + shift, size))
+                key = F.xxhash64(of, F.lit(number), F.substring(part, start + shift - first + 1, size))
                 (own if less == shift == 0 else probes).append(key)
     return F.array(*own, *probes)
 
 
 def letter_counts(line: Column) -> Column:
     """Counts of ten frequent letters modulo 4, as two bits each in Gray code."""
-    total = F.lit(0)
+    total, left = F.lit(0), line
     for k, x in enumerate(_LETTERS):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))).bitwiseAND(F.lit(3))
-        total = total.bitwiseOR(F.shiftleft(n, 2 * k))
+        # what is left gets shorter with each letter
+        fewer = F.replace(left, F.lit(x), F.lit(""))
+        total = total.bitwiseOR(F.shiftleft((F.octet_length(left) - F.octet_length(fewer)).bitwiseAND(F.lit(3)), 2 * k))
+        left = fewer
     # neighbours round the circle 0, 1, 2, 3 differ in one bit of the code
     return total.bitwiseXOR(F.shiftright(total, 1).bitwiseAND(F.lit(0x15555555)))
 
@@ -139,8 +148,9 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 def line_links(ws: Workspace, docs_lines) -> DataFrame:
     """Links (a, b) between ids of different lines within EDITS."""
-    # the length goes along, since each use would count the characters again
-    distinct = docs_lines().select("line", F.length("line").alias("n")).where(F.col("n") >= MIN_CHARS).distinct()
+    # the length goes along, since each use would count the characters again; the filter after the aggregate
+    # keeps the keys' projection apart from it, where Spark computes common parts of expressions once
+    distinct = docs_lines().select("line", F.length("line").alias("n")).where(F.col("n") >= MIN_CHARS).groupBy("line").agg(F.max("n").alias("n")).where(F.col("n") >= MIN_CHARS)
     # staged before they are exploded, or the line would go along with each posting
     keyed = ws.keep(distinct.select(F.xxhash64("line").alias("id"), letter_counts(F.col("line")).alias("letters"), postings(F.col("line"), F.col("n")).alias("keys")))
     post = keyed.select("id", "letters", F.posexplode("keys").alias("pos", "key"))
