@@ -51,14 +51,6 @@ class Workspace:
         for table in tables:
             self._delete(table.staged_at)
 
-    def free_shuffles(self) -> None:
-        """Lets Spark delete the shuffle files of ended steps now.
-
-        It deletes them once the driver's JVM finds their handles unused, which else
-        waits for the next collection of a heap that a plan hardly fills.
-        """
-        self.spark.sparkContext._jvm.System.gc()
-
     def finish(self, df: DataFrame) -> DataFrame:
         """Writes the result beside the run's folder and deletes the folder."""
         path = f"{self.root}-result"
