@@ -9,8 +9,8 @@ to EDITS shorter, only those places. Pairs that meet and whose letter counts do
 them out are verified by edit distance in a band of diagonals, kept in the bits of one
 integer and moved one column at a time, after their common start is cut off.
 
-Distinct lines move once, postings once; texts of pairs are fetched for lines in a pair
-only. Lines carry a 64-bit hash as id. Links are transitive: of a component of equal or
+Distinct lines move once, as their keys, and postings once; texts of pairs are fetched
+for lines in a pair only. Lines carry a 64-bit hash as id. Links are transitive: of a component of equal or
 linked lines the first, by doc_id and line number, stays in its document.
 
 Defined cases: null counts as empty; lines are parts between \n; a line of white space
@@ -148,11 +148,10 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 def line_links(ws: Workspace, docs_lines) -> DataFrame:
     """Links (a, b) between ids of different lines within EDITS."""
-    # the length goes along, since each use would count the characters again; the filter after the aggregate
-    # keeps the keys' projection apart from it, where Spark computes common parts of expressions once
-    distinct = docs_lines().select("line", F.length("line").alias("n")).where(F.col("n") >= MIN_CHARS).groupBy("line").agg(F.max("n").alias("n")).where(F.col("n") >= MIN_CHARS)
-    # staged before they are exploded, or the line would go along with each posting
-    keyed = ws.keep(distinct.select(F.xxhash64("line").alias("id"), letter_counts(F.col("line")).alias("letters"), postings(F.col("line"), F.col("n")).alias("keys")))
+    # keys are made before equal lines are put together: they move with less than the line, and equal lines give equal rows
+    lines = docs_lines().select("line", F.length("line").alias("n")).where(F.col("n") >= MIN_CHARS)
+    # staged before they are exploded, or all keys would go along with each posting
+    keyed = ws.keep(lines.select(F.xxhash64("line").alias("id"), letter_counts(F.col("line")).alias("letters"), postings(F.col("line"), F.col("n")).alias("keys")).distinct())
     post = keyed.select("id", "letters", F.posexplode("keys").alias("pos", "key"))
     own = post.where(F.col("pos") <= EDITS).select(F.col("id").alias("id2"), F.col("letters").alias("letters2"), F.col("key").alias("key2"))
     # lines of one length would meet from both sides; one is enough
