@@ -114,8 +114,8 @@ def edit_distance(spark, d):
 
 @query()
 def alignment_marks(spark, d):
-    """Counts of an alignment with traceback between neighbouring turns' first characters."""
+    """Counts of an alignment with traceback between neighbouring turns."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    p = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.substring("text", 1, 60).alias("a"), F.substring(F.lead("text").over(w), 1, 60).alias("b")).where("b IS NOT NULL")
+    p = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).where("b IS NOT NULL")
     m = p.select("conv_id", "turn", alignment_counts("a", "b").alias("m")).select("conv_id", "turn", "m.*")
     return m.withColumn("accuracy", F.round(F.try_divide(F.col("matched"), F.col("matched") + F.col("substituted") + F.col("missing") + F.col("extra")), 9))
