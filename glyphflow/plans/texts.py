@@ -112,6 +112,14 @@ def edit_distance(spark, d):
     return p.where(F.col("a").rlike("^[ -~\\n]*\\z") & F.col("b").rlike("^[ -~\\n]*\\z")).select("conv_id", "turn", X.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
 
 
+@query()
+def edit_distance_whole(spark, d):
+    """The distance in code points of all neighbouring turns; edit_distance and its SQL compare ASCII prefixes."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    p = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(w).alias("b"))
+    return p.where("a IS NOT NULL AND b IS NOT NULL").select("conv_id", "turn", X.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
+
+
 @query()
 def alignment_marks(spark, d):
     """Counts of an alignment with traceback between neighbouring turns."""

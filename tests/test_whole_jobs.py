@@ -33,6 +33,23 @@ def counts(a, b):
     return tuple(n[k] for k in ("match", "substitute", "delete", "insert"))
 
 
+def distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        d, before = [i], d
+        for j, y in enumerate(b, 1):
+            d.append(min(before[j] + 1, d[-1] + 1, before[j - 1] + (x != y)))
+    return d[-1]
+
+
+def test_edit_distance_covers_whole_turns_of_all_pairs(spark, tmp_path):
+    from glyphflow.plans.texts import edit_distance_whole
+
+    table(spark, tmp_path, "conversations", TURNS, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.distance for r in edit_distance_whole(spark, str(tmp_path)).collect()}
+    assert got == {x[:2]: distance(x[3], y[3]) for x, y in PAIRS}
+
+
 def test_alignment_marks_cover_whole_turns(spark, tmp_path):
     from glyphflow.plans.texts import alignment_marks
 
