@@ -48,8 +48,14 @@ def max_match_segment(spark, d):
 
 @query("SELECT word, p_brand, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, p_brand) - 1 AS rank FROM (SELECT word, p_brand, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL)) WHERE rank < 5")
 def reading_rank(spark, d):
+    return reading_rank_whole(spark, d).where("rank < 5")
+
+
+@query()
+def reading_rank_whole(spark, d):
+    """Every candidate of every word; reading_rank and its SQL keep five."""
     c = _words(spark, d).groupBy("word", "p_brand").agg(F.count("*").alias("n"))
-    return c.withColumn("rank", (F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "p_brand")) - 1).cast("long")).where("rank < 5")
+    return c.withColumn("rank", (F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "p_brand")) - 1).cast("long"))
 
 
 @query("SELECT word, arg_max(p_brand, {'n': n, 'k': p_brand}) AS best, count(*) > 1 AS ambiguous FROM (SELECT word, p_brand, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL) GROUP BY word")

@@ -31,11 +31,21 @@ def content_dedup(spark, d):
 
 @query("SELECT d.doc_id, l.quality IS NOT NULL AS has_label, coalesce(e.n, 0) AS n_events, row_number() OVER (ORDER BY coalesce(e.last, 0) DESC, d.doc_id DESC) AS place FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN (SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last FROM events GROUP BY user_id) e ON e.user_id = d.doc_id QUALIFY place <= 100")
 def library_list(spark, d):
+    top = _library(spark, d).orderBy(F.desc("last"), F.desc("doc_id")).limit(100)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last"), F.desc("doc_id"))).cast("long")).drop("last")
+
+
+@query()
+def library_list_whole(spark, d):
+    """Every text with its sort keys, last and doc_id, both descending; library_list and its SQL keep 100."""
+    return _library(spark, d)
+
+
+def _library(spark, d):
     e = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last"))
     l = _t(spark, d, "labels").select(F.col("doc_id").alias("lid"), "quality")
     x = _t(spark, d, "documents").select("doc_id").join(l, F.col("doc_id") == F.col("lid"), "left").join(e, F.col("doc_id") == F.col("user_id"), "left")
-    top = x.select("doc_id", F.col("quality").isNotNull().alias("has_label"), F.coalesce("n", F.lit(0)).alias("n_events"), F.coalesce("last", F.lit(0)).alias("last")).orderBy(F.desc("last"), F.desc("doc_id")).limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last"), F.desc("doc_id"))).cast("long")).drop("last")
+    return x.select("doc_id", F.col("quality").isNotNull().alias("has_label"), F.coalesce("n", F.lit(0)).alias("n_events"), F.coalesce("last", F.lit(0)).alias("last"))
 
 
 @query("SELECT user_id, event_type, count(*) AS attempts, arg_max(round(value, 6), event_id) AS last_value, max(event_id) AS last_event FROM events GROUP BY ALL")
@@ -161,11 +171,17 @@ def merge_keep_current(spark, d):
 
 @query("SELECT lang, doc_id, coalesce(list_position(['fr','de'], lang), 3) AS rank, row_number() OVER (ORDER BY coalesce(list_position(['fr','de'], lang), 3), doc_id) AS place FROM documents QUALIFY place <= 50")
 def language_order(spark, d):
-    r = F.array_position(F.array(F.lit("fr"), F.lit("de")), F.col("lang"))
-    x = _t(spark, d, "documents").select("lang", "doc_id", F.when(r == 0, 3).otherwise(r).cast("int").alias("rank")).orderBy("rank", "doc_id").limit(50)
+    x = language_order_whole(spark, d).orderBy("rank", "doc_id").limit(50)
     return x.withColumn("place", F.row_number().over(Window.orderBy("rank", "doc_id")).cast("long"))
 
 
+@query()
+def language_order_whole(spark, d):
+    """Every document with its sort keys, rank and doc_id; language_order and its SQL keep 50."""
+    r = F.array_position(F.array(F.lit("fr"), F.lit("de")), F.col("lang"))
+    return _t(spark, d, "documents").select("lang", "doc_id", F.when(r == 0, 3).otherwise(r).cast("int").alias("rank"))
+
+
 @query("SELECT md5(string_agg(source || ':' || n || ':' || c, '|' ORDER BY source)) AS fingerprint FROM (SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS c FROM documents GROUP BY source)")
 def source_fingerprint(spark, d):
     s = _t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
