@@ -1,18 +1,23 @@
 """Main text of web pages, with templates of a site removed.
 
 A page is read as a stream of tags and text. Subtrees of elements are hashed (names and
-text, not attributes); Spark counts, for each host, the pages that have a subtree. One
-that recurs on at least MIN_PAGES pages and MIN_SHARE of the host's pages is a template of
-the site and is deleted. Independently, elements that are no article by their meaning go:
-navigation, headers, footers, asides, forms, scripts, notices, adverts and reader comments,
-by element name, role, or the words in class and id.
+text, not attributes); Spark counts, for each host, the distinct page contents that have a
+subtree. One that recurs in at least MIN_PAGES of them, however many pages the host has, is
+a template of the site and is deleted. Independently, elements that are no article by their
+meaning go: navigation, headers, footers, asides, forms, scripts, notices, adverts and
+reader comments, by element name, role, or the words in class and id.
+
+The content of a page is its text before templates are deleted, so copies of an article
+count once, whatever navigation they stand in. Copies whose other text differs in no marked
+element count each.
 
 If a page has <article> or <main>, its text is what remains of them, else what remains of
-the body. Inside an article a paragraph-like element is never taken as a template, because
-sites repeat an article's sentences too; nor is a subtree with more than half of the text.
+the body. A paragraph-like element is never taken as a template, because sites repeat an
+article's sentences too.
 
-The hash index is joined by (host, hash) and by page, so that a host with a third of all
-pages is no single group, and a page's html crosses the network once, by its key.
+The hash index is joined by hash, into which the host goes, and by page, so that a host with
+a third of all pages is no single group. Up to SHARED templates are shared with all workers;
+beyond, a page's html crosses the network once, by its key.
 
 Defined cases: null counts as empty and gives an empty text; unclosed and stray tags,
 cut-off pages and unknown entities are read as browsers do; rows with the same page_id and
@@ -25,6 +30,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,7 +38,9 @@ from pyspark.sql import functions as F
 
 from glyphflow.plans.staging import Workspace
 
-MIN_PAGES, MIN_SHARE = 5, 0.3
+MIN_PAGES = 5
+#: Up to so many templates (8 bytes each) are shared with all workers; more meet their pages in a join.
+SHARED = 1 << 24
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*'|)|[\"'])*)/?>|[^<]+|<", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Element names by their place in HTML, fixed values.
@@ -134,8 +142,8 @@ def _close(stack: list[Node], name: str, walls: tuple[str, ...]) -> None:
             return
 
 
-def seal(root: Node) -> list[Node]:
-    """Sets hash and size (characters of text) of all nodes; returns them, kids first."""
+def seal(root: Node, seed: int = 0) -> None:
+    """Sets hash and size (characters of text) of all nodes."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -143,7 +151,7 @@ def seal(root: Node) -> list[Node]:
         todo += [x for x in node.kids if x.__class__ is Node]
     order.reverse()
     for node in order:
-        h = xxhash.xxh64(node.name)
+        h = xxhash.xxh64(node.name, seed)
         size = 0
         for x in node.kids:
             if x.__class__ is Node:
@@ -155,26 +163,52 @@ def seal(root: Node) -> list[Node]:
                     h.update("\0" + text)
                     size += len(text)
         node.hash, node.size = h.intdigest(), size
-    return order
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def subtree_hashes(page: str) -> set[int]:
-    """Hashes of the subtrees that may be templates."""
-    return {_signed(x.hash) for x in seal(parse(page)) if x.size and x.name not in PARAGRAPH and x.name not in ("#root", "html", "body", "article", "main") and x.name not in RAW}
+def seed_of(url: str | None) -> int:
+    """Equal subtrees of different hosts get different hashes by it."""
+    return xxhash.xxh64_intdigest(host(url))
+
+
+def _candidates(root: Node) -> Iterator[Node]:
+    """The subtrees that may be templates."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.name in RAW or not node.size:
+            continue
+        if not (node.name in PARAGRAPH or node.name in ("#root", "html", "body", "article", "main")):
+            yield node
+        todo += [x for x in node.kids if x.__class__ is Node]
+
+
+def subtree_hashes(root: Node) -> set[int]:
+    """Hashes of the subtrees of a sealed page that may be templates."""
+    return {_signed(x.hash) for x in _candidates(root)}
 
 
-def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks of the article, one to a line."""
+def main_text(page: str | None, templates: frozenset[int] | set[int] | np.ndarray = frozenset(), seed: int = 0) -> str:
+    """The blocks of the article, one to a line; templates is a set or a sorted array."""
     root = parse(page or "")
-    order = seal(root)
-    total = root.size
-    for node in order:
-        if node.size and node.name not in PARAGRAPH and 2 * node.size <= total and _signed(node.hash) in templates:
-            node.bad = True
+    if len(templates):
+        seal(root, seed)
+        nodes = list(_candidates(root))
+        if templates.__class__ is np.ndarray:
+            its = np.array([_signed(x.hash) for x in nodes], np.int64)
+            at = np.minimum(np.searchsorted(templates, its), len(templates) - 1)
+            hit = (templates[at] == its).tolist()
+        else:
+            hit = [_signed(x.hash) in templates for x in nodes]
+        for node, bad in zip(nodes, hit):
+            node.bad = node.bad or bad
+    return _text(root)
+
+
+def _text(root: Node) -> str:
     tops = _tops(root, "article") or _tops(root, "main") or [root]
     blocks: list[str] = []
     part: list[str] = []
@@ -222,26 +256,43 @@ def _tops(root: Node, name: str) -> list[Node]:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(p, host(u), sorted(subtree_hashes(h or ""))) for p, u, h in zip(*(c.to_pylist() for c in batch.columns))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["page_key", "host", "hashes"])
+        content, hashes = [], []
+        for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            root = parse(page)
+            seal(root, seed_of(url))
+            content.append(_signed(xxhash.xxh64_intdigest(_text(root))))
+            hashes.append(sorted(subtree_hashes(root)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["page_key", "content", "hashes"])
+
+
+def _rows(batch: pa.RecordBatch, text: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = [main_text(h, set(t or ())) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        yield _rows(batch, [main_text(h, set(t or ()), seed_of(u)) for u, h, t in zip(*(c.to_pylist() for c in batch.columns[1:]))])
+
+
+def _shared_texts(templates):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows(batch, [main_text(h, templates.value, seed_of(u)) for u, h in zip(*(c.to_pylist() for c in batch.columns[1:]))])
+
+    return run
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
+def extract_main_text(pages: DataFrame, shared: int = SHARED) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     ws = Workspace(pages.sparkSession, "html")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     key = F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.sha2(F.concat_ws(" ", "url", "html"), 256)).alias("page_key")
-    found = ws.keep(p.select(key, "url", "html").mapInArrow(_hashes, "page_key string, host string, hashes array<long>"))
-    sites = found.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "site")
-    each = found.select("host", "page_key", F.explode("hashes").alias("hash"))
-    often = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    template = ws.keep(often.join(sites, F.col("host") == F.col("site")).where(F.col("n") >= MIN_SHARE * F.col("pages")).select(F.col("host").alias("at_host"), F.col("hash").alias("at_hash")))
-    mine = each.join(template, (F.col("host") == F.col("at_host")) & (F.col("hash") == F.col("at_hash"))).groupBy(F.col("page_key").alias("at_page")).agg(F.collect_set("hash").alias("templates"))
+    found = ws.keep(p.select(key, "url", "html").mapInArrow(_hashes, "page_key string, content long, hashes array<long>"))
+    each = found.select("page_key", "content", F.explode("hashes").alias("hash"))
+    often = each.select("hash", "content").distinct().groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    template = ws.keep(often.select(F.col("hash").alias("at_hash")))
+    if template.count() <= shared:
+        return ws.finish(p.mapInArrow(_shared_texts(pages.sparkSession.sparkContext.broadcast(np.sort(template.toArrow().column("at_hash").to_numpy()))), "page_id long, url string, text string, n_chars long"))
+    mine = each.join(template, F.col("hash") == F.col("at_hash")).groupBy(F.col("page_key").alias("at_page")).agg(F.collect_set("hash").alias("templates"))
     whole = p.withColumn("page_key", key).join(ws.keep(mine), F.col("page_key") == F.col("at_page"), "left").select("page_id", "url", "html", "templates")
     return ws.finish(whole.mapInArrow(_texts, "page_id long, url string, text string, n_chars long"))

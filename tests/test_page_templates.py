@@ -1,0 +1,28 @@
+"""Templates of a site by the distinct page contents that have them."""
+
+
+def texts(spark, pages):
+    from glyphflow.llm.html_text import extract_main_text
+
+    rows = [(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)]
+    return {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_a_template_is_found_on_a_host_of_any_size(spark):
+    block = "<div><div>Read our long list of partners</div><div>and of friends</div></div>"
+    pages = [f"<body>{block if k < 6 else ''}<div>own {k}</div>" for k in range(40)]
+    assert texts(spark, pages) == {k: f"own {k}" for k in range(40)}
+
+
+def test_copies_of_an_article_count_once(spark):
+    article = "<div><div>The same article on many pages</div></div>"
+    pages = [f"<body><nav>path {k}</nav>{article}" for k in range(8)] + [f"<body>{article}<div>note {k}</div>" for k in range(2)]
+    got = texts(spark, pages)
+    assert all(got[k] == "The same article on many pages" for k in range(8))
+
+
+def test_shared_and_joined_templates_give_the_same(spark):
+    from glyphflow.llm.html_text import extract_main_text
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert sorted(extract_main_text(pages).collect(), key=str) == sorted(extract_main_text(pages, shared=-1).collect(), key=str)
