@@ -12,8 +12,9 @@ count once, whatever navigation they stand in. Copies whose other text differs i
 element count each.
 
 If a page has <article> or <main>, its text is what remains of them, else what remains of
-the body. A paragraph-like element is never taken as a template, because sites repeat an
-article's sentences too.
+the body. Inside an <article> or <main> a paragraph-like element is never taken as a
+template, because sites repeat an article's sentences too. Outside it is, but an inline
+element goes with the words around it, as it is part of their sentence.
 
 The hash index is joined by hash, into which the host goes, and by page, so that a host with
 a third of all pages is no single group. Up to SHARED templates are shared with all workers;
@@ -58,6 +59,7 @@ NOTICE = frozenset(
 )
 _WORD = re.compile(r"[^A-Za-z]+")
 _GAP = re.compile(r"\s+")
+_LETTER = re.compile(r"[^\W_]")
 
 
 def host(url: str | None) -> str:
@@ -176,14 +178,16 @@ def seed_of(url: str | None) -> int:
 
 def _candidates(root: Node) -> Iterator[Node]:
     """The subtrees that may be templates."""
-    todo = [root]
+    todo = [(root, False, False)]
     while todo:
-        node = todo.pop()
+        node, inside, worded = todo.pop()
         if node.name in RAW or not node.size:
             continue
-        if not (node.name in PARAGRAPH or node.name in ("#root", "html", "body", "article", "main")):
+        if not (node.name in PARAGRAPH and inside or node.name in INLINE and worded or node.name in ("#root", "html", "body", "article", "main")):
             yield node
-        todo += [x for x in node.kids if x.__class__ is Node]
+        inside = inside or node.name in ("article", "main")
+        worded = node.name in INLINE and worded or any(x.__class__ is str and _LETTER.search(entities.unescape(x)) for x in node.kids)
+        todo += [(x, inside, worded) for x in node.kids if x.__class__ is Node]
 
 
 def subtree_hashes(root: Node) -> set[int]:

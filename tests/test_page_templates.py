@@ -21,6 +21,13 @@ def test_copies_of_an_article_count_once(spark):
     assert all(got[k] == "The same article on many pages" for k in range(8))
 
 
+def test_paragraphs_are_spared_in_an_article_only(spark):
+    line, cell = "<p>All rights reserved</p>", "<table><tr><td>Home</td><td>News {0}</td></tr></table>"
+    bare = [f"<body>{cell.format(k)}<p>own <b>bold</b> text {k}</p>{line}" for k in range(6)]
+    inside = [f"<body><article><p>own text {k}</p>{line}</article>" for k in range(6)]
+    assert texts(spark, bare + inside) == {k: f"News {k}\nown bold text {k}" for k in range(6)} | {6 + k: f"own text {k}\nAll rights reserved" for k in range(6)}
+
+
 def test_shared_and_joined_templates_give_the_same(spark):
     from glyphflow.llm.html_text import extract_main_text
 
