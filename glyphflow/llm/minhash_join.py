@@ -88,8 +88,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = np.array([np.bitwise_xor.reduce(x) if len(x) else 0 for x in sets], np.uint64)
             b = np.array([mix(x).sum(dtype=np.uint64) if len(x) else 0 for x in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, COORDINATES), pa.int32()), pa.array(keys.ravel()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "keys"],
+                [part.column(0), part.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, COORDINATES), pa.int32()), pa.array(keys.ravel()))],
+                ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "keys"],
             )
 
 
@@ -132,15 +132,25 @@ def _block_links(key, pdf_left, pdf_right):
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """Rows that share doc_id and text have one set and one fate."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return text.withColumn("text_hash", F.xxhash64("text"))
+
+
 def near_links(ws: Workspace, docs: DataFrame, signed: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(class of each document, component of each class that has a link).
 
-    signed: what ``_sign`` gives. A class is all documents with one set; its id is the
-    smallest doc_id.
+    signed: what ``_sign`` gives. A class is all rows with one set; its id is a number of
+    its own, since rows with different sets may share a doc_id. first and first_text name
+    one of its rows, with the smallest doc_id.
     """
-    classes = ws.keep(signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id")))
-    post = signed.where("n_shingles > 0").select("doc_id", "set_a", "set_b", "n_shingles", "keys")
-    reps = ws.keep(post.join(classes.select("id", F.col("set_a").alias("ca"), F.col("set_b").alias("cb"), F.col("n_shingles").alias("cn")), (F.col("doc_id") == F.col("id")) & (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")) & (F.col("n_shingles") == F.col("cn"))).select("id", "keys").dropDuplicates(["id"]))
+    full = signed.where("n_shingles > 0")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first")
+    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(least)
+    # staged, so that the numbers stay
+    classes = ws.keep(classes.select("set_a", "set_b", "n_shingles", F.col("first.doc_id").alias("first"), F.col("first.text_hash").alias("first_text"), F.monotonically_increasing_id().alias("id")))
+    reps = ws.keep(full.join(classes.select("id", "first", "first_text"), (F.col("doc_id") == F.col("first")) & (F.col("text_hash") == F.col("first_text"))).select("id", "keys").dropDuplicates(["id"]))
     posting = reps.select("id", F.explode("keys").alias("key"))
     often = posting.groupBy("key").count().where("count > 1").withColumnRenamed("key", "of")
     order = F.sort_array(F.collect_list(F.struct("count", "key")))
@@ -148,9 +158,8 @@ def near_links(ws: Workspace, docs: DataFrame, signed: DataFrame, rounds: int =
     live = ws.keep(live.withColumn("live", F.transform(F.slice("live", F.lit(1), F.size("live") - (MATCHES - 1)), lambda x: x.key)))
     index = ws.keep(live.select("id", F.explode("live").alias("key")))
     keys = live.select("id", "keys")
-    ids = broadcast_if_small(live.select(F.col("id").alias("doc_id")), 8)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shingles = ws.keep(text.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]))
+    ids = broadcast_if_small(ws.keep(classes.join(live.select("id"), "id", "left_semi").select("id", F.col("first").alias("doc_id"), F.col("first_text").alias("text_hash"))), 24)
+    shingles = ws.keep(_texts(docs).join(ids, ["doc_id", "text_hash"]).select("id", "text").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]))
     edges, comp = None, None
     for k in range(rounds):
         labelled = index.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("id", "key", F.coalesce("component", "id").alias("component")) if comp is not None else index.withColumn("component", F.col("id"))
@@ -231,23 +240,25 @@ def _confirmed(ws: Workspace, pairs: DataFrame, keys: DataFrame, shingles: DataF
 
 
 def _labelled(ws: Workspace, docs: DataFrame) -> DataFrame:
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = ws.keep(text.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"))
+    signed = ws.keep(_texts(docs).mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, keys array<long>"))
     classes, comp = near_links(ws, docs, signed)
-    named = ws.keep(classes.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("component")))
-    s = signed.select("doc_id", "n_shingles", "set_a", "set_b")
-    out = s.join(named.withColumnsRenamed({"set_a": "na", "set_b": "nb"}), (F.col("set_a") == F.col("na")) & (F.col("set_b") == F.col("nb")) & (F.col("n_shingles") == F.col("n")), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    member = comp.withColumnRenamed("id", "cid")
+    least = member.join(classes, F.col("id") == F.col("cid")).groupBy(F.col("component").alias("of")).agg(F.min("first").alias("least"))
+    least = member.join(least, F.col("component") == F.col("of")).select("cid", "least")
+    named = ws.keep(classes.join(least, F.col("id") == F.col("cid"), "left").select(F.col("set_a").alias("na"), F.col("set_b").alias("nb"), F.col("n_shingles").alias("n"), F.coalesce("least", "first").alias("component")))
+    s = signed.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b")
+    out = s.join(named, (F.col("set_a") == F.col("na")) & (F.col("set_b") == F.col("nb")) & (F.col("n_shingles") == F.col("n")), "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     ws = Workspace(docs.sparkSession, "near")
-    return ws.finish(_labelled(ws, docs))
+    return ws.finish(_labelled(ws, docs).drop("text_hash"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay (one of each component), with all columns."""
     ws = Workspace(docs.sparkSession, "near")
-    gone = ws.finish(_labelled(ws, docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = ws.finish(_labelled(ws, docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct())
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["gone_text"]), "left_anti")

@@ -1,0 +1,20 @@
+"""Different texts under one doc_id keep their own sets and links."""
+
+
+def test_rows_that_share_an_id_are_linked_by_their_own_sets(spark):
+    from glyphflow.llm.minhash_join import drop_near_duplicates, near_duplicates
+
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in ("alpha", "beta", "gamma"))
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (3, three), (1, one), (0, three + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert got == sorted([(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (3, 56, 0, False), (1, 56, 1, True), (0, 57, 0, True)])
+    assert sorted((r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()) == sorted([(1, one), (1, one), (1, two), (0, three + " end")])
+
+
+def test_a_row_stays_though_another_of_its_id_goes(spark):
+    from glyphflow.llm.minhash_join import drop_near_duplicates
+
+    one, two = (" ".join(f"{x}{k}" for k in range(60)) for x in ("alpha", "beta"))
+    docs = spark.createDataFrame([(1, one), (2, one), (2, two)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()) == [(1, one), (2, two)]
