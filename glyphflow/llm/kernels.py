@@ -52,12 +52,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about SLICE_BYTES of text each (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about so many bytes of text each (one row at least)."""
     bounds = _offsets(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, batch.num_rows
     while at < n:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
     release()

@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,15 +77,15 @@ def _pieces(path: str | None, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, data in zip(part.column(0).to_pylist(), encoder(path).encode(part.column(1).to_pylist())):
-                    for start in range(0, len(data), 4 * window):
-                        piece = data[start : start + 4 * window]
-                        for x, v in zip(rows, (doc_id, start // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4)):
-                            x.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for part, flat, bounds in encoder(path).batches(batch):
+                size = np.diff(bounds)
+                pieces = -(-size // window)
+                doc = np.repeat(np.arange(len(size)), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(window, size[doc] - start)
+                low, data = bounds[doc] + start, memoryview(flat).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(low.tolist(), (low + length).tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, size[doc]))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 

@@ -12,11 +12,20 @@ arrays, so a short document is read without its neighbours. Layout of a shard::
 The dictionary lies beside the shards under the name of its sha256. A manifest row per
 shard has the number of documents and ids and the number of ids in all shards before it.
 
-The dictionary is fitted on a bounded sample (SAMPLE_DOCS documents with the smallest
-hash of the id); only the compression ratio depends on it. Every document is written.
+The dictionary is fitted on a bounded sample: of SAMPLE_DOCS documents with the smallest
+hashes of id and text, all ids are cut into records of RECORD_IDS, and the SAMPLE_DOCS
+records with the smallest hashes are taken. Only the compression ratio depends on it. Every
+document is written.
 
-Defined cases: a null or empty text has the end id only; rows with the same id follow
-each other, equal texts first come first; an empty table writes no shard.
+Shards follow from the counted rows and bytes, so that a shard and its index stay small
+however large the table is. Ranges are over (id, hash of the text), so that rows of one id
+may lie in several shards.
+
+Ids take two bytes, or four where the vocabulary has more than 65,536.
+
+Defined cases: a null or empty text has the end id only; rows with the same id follow each
+other by the hash of their text, then by the text; an empty table writes no shard; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,11 +47,11 @@ from glyphflow.plans.staging import Workspace
 
 MAGIC, VERSION = b"GFTK", 1
 HEAD, ROW, FOOT = struct.Struct("<4sHH32s"), np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")]), struct.Struct("<QQ4s")
-SAMPLE_DOCS = 2000
-SAMPLE_IDS = 4000
+SAMPLE_DOCS, RECORD_IDS = 2000, 4000
 DICT_BYTES = 32 << 10
 LEVEL = 3
-SHARD_DOCS = 200_000
+#: A shard has about so many documents and bytes of text at most; small tables are cut finer, for all cores.
+SHARD_DOCS, SHARD_BYTES = 200_000, 256 << 20
 
 
 class Store:
@@ -143,17 +152,25 @@ class Shard:
         return [self.ids(k) for k in range(lo, hi)]
 
 
-def write_token_files(docs: DataFrame, root: str, path: str | None = None, width: int = 2) -> DataFrame:
+def id_width(path: str | None, width: int | None) -> int:
+    """Bytes per id; an explicit width too small for the vocabulary is refused."""
+    need = 2 if max(encoder(path).size, encoder(path).end_id + 1) <= 1 << 16 else 4
+    if width is not None and width < need:
+        raise ValueError(f"ids of this vocabulary need {need} bytes, not {width}")
+    return width or need
+
+
+def write_token_files(docs: DataFrame, root: str, path: str | None = None, width: int | None = None) -> DataFrame:
     """Writes shards of docs (doc_id, text) under root; returns the manifest.
 
     Manifest: shard, n_docs, n_ids, before (ids in all earlier shards). It has one row per
     shard and is the only thing that is summed in one place.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    first = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = docs.join(F.broadcast(first), "doc_id").select("text").mapInArrow(_sample_ids(path, width), "ids binary")
-    dictionary = train_dictionary(sorted(bytes(r.ids) for r in sample.collect()))
+    spark, width = docs.sparkSession, id_width(path, width)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("of_text", F.xxhash64("text"))
+    first = docs.select("doc_id", "of_text").distinct().orderBy(F.xxhash64("doc_id", "of_text"), "doc_id", "of_text").limit(SAMPLE_DOCS)
+    records = docs.join(F.broadcast(first), ["doc_id", "of_text"]).dropDuplicates(["doc_id", "of_text"]).select("text").mapInArrow(_records(path, width), "ids binary")
+    dictionary = train_dictionary(sorted(bytes(r.ids) for r in records.orderBy(F.xxhash64("ids"), "ids").limit(SAMPLE_DOCS).collect()))
     store = Store(root)
     store.write(f"{hashlib.sha256(dictionary).hexdigest()}.dict", iter([dictionary]))
 
@@ -165,10 +182,9 @@ def write_token_files(docs: DataFrame, root: str, path: str | None = None, width
 
         def ids():
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    for doc_id, data in zip(part.column(0).to_pylist(), encoder(path).encode(part.column(1).to_pylist())):
-                        yield doc_id, np.frombuffer(data, "<u4")
+                for part, flat, bounds in encoder(path).batches(batch):
+                    for k, doc_id in enumerate(part.column(0).to_pylist()):
+                        yield doc_id, flat[bounds[k] : bounds[k + 1]]
 
         found = ids()
         head = next(found, None)
@@ -178,8 +194,10 @@ def write_token_files(docs: DataFrame, root: str, path: str | None = None, width
             out.write(name, shard_bytes(chain([head], found), dictionary, width, into))
             yield pa.RecordBatch.from_pydict({"shard": [name], "n_docs": [into[0][0]], "n_ids": [into[0][1]]})
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wrote = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(write, "shard string, n_docs long, n_ids long").collect()
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_DOCS), -(-size // SHARD_BYTES))
+    dealt = docs.repartitionByRange(max(1, min(parts, n)), "doc_id", "of_text").sortWithinPartitions("doc_id", "of_text", "text").select("doc_id", "text")
+    wrote = dealt.mapInArrow(write, "shard string, n_docs long, n_ids long").collect()
     rows, before = [], 0
     for r in sorted(wrote, key=lambda r: r.shard):
         rows.append((r.shard, r.n_docs, r.n_ids, before))
@@ -187,11 +205,13 @@ def write_token_files(docs: DataFrame, root: str, path: str | None = None, width
     return spark.createDataFrame(rows, "shard string, n_docs long, n_ids long, before long")
 
 
-def _sample_ids(path: str | None, width: int):
+def _records(path: str | None, width: int):
     def run(batches):
         for batch in batches:
-            got = [np.frombuffer(x, "<u4")[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for x in encoder(path).encode(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(got, pa.binary())})
+            for _, flat, bounds in encoder(path).batches(batch):
+                flat = flat.astype(f"<u{width}")
+                got = [flat[at : min(at + RECORD_IDS, high)].tobytes() for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()) for at in range(low, high, RECORD_IDS)]
+                yield pa.RecordBatch.from_pydict({"ids": pa.array(got, pa.binary())})
 
     return run
 
