@@ -134,6 +134,41 @@ def test_token_files_round_trip(docs, empty, ids):
         at += len(ids[i])
     assert token_files(empty).count() == 0
 
+def test_ids_are_the_library_s_on_odd_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from glyphflow.llm.tokens import Encoder
+
+    library, ours, r = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Encoder(), random.Random(3)
+    bits = ["the", "The", "don't", "'s", " ", "\n", "\t", "é", "é", "É", "ß", "İ", "Σ", "ΑΣ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\x01", "12", "½", "...", "!?", "''", "&'s", "̸", "ª", "µ", "×", "你好", "かな", "가", "𠀀", "😀", "\r", "\x85", " ", "_", "A-B", "ÿ", "ſ", "ﬁ"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 9))) for _ in range(5000)] + [None, "", "a" * 100_000, "b " * 50_000]
+    for at in range(0, len(texts), 1000):
+        part = texts[at : at + 1000]
+        ids, bounds = ours.encode(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*x.ids, 1] for x in library.encode_batch([t or "" for t in part], add_special_tokens=False)]
+
+
+def test_ids_of_a_large_vocabulary_take_four_bytes(spark, tmp_path):
+    import json
+
+    from glyphflow.llm.token_files import Shard, Store, id_width, token_files, write_token_files
+    from glyphflow.llm.tokens import encoder
+
+    words = {f"w{k}": k for k in range(70_000)}
+    path = tmp_path / "many.json"
+    path.write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": words, "unk_token": "w0"}}))
+    assert id_width(str(path), None) == 4 and not encoder(str(path)).by_piece
+    with pytest.raises(ValueError):
+        id_width(str(path), 2)
+    docs = spark.createDataFrame([(1, "w69999 w3"), (2, None), (2, "w5")], "doc_id long, text string")
+    manifest = write_token_files(docs, str(tmp_path / "out"), str(path))
+    found = [Shard(Store(str(tmp_path / "out")), r.shard) for r in manifest.collect()]
+    assert sorted((int(s.index["doc_id"][k]), s.ids(k).tolist()) for s in found for k in range(len(s.index))) == [(1, [69999, 3, 1]), (2, [1]), (2, [5, 1])]
+    again = [sorted((r.doc_id, r.start, r.n_tokens) for r in token_files(docs.repartition(n)).collect()) for n in (1, 3)]
+    assert again[0] == again[1] and len(again[0]) == 3
+
 
 def test_packing_covers_every_id_once(docs, empty, ids):
     from glyphflow.llm.packing import pack
@@ -242,26 +277,25 @@ def test_banded_edit_distance(spark):
     assert df.where(within_edits(F.col("a"), F.col("b")) != (F.levenshtein("a", "b") <= 2)).count() == 0
 
 
-def test_line_dedup(docs, empty):
-    from glyphflow.llm.line_dedup import dedup_lines
-
-    lines = [(i, p, x) for i, t, *_ in corpus() for p, x in enumerate((t or "").split("\n"))]
+def lines_by_force(rows):
+    """doc_id -> (n_lines, n_removed, n_near_removed, n_linked, n_kept_chars)."""
+    lines = [(i, p, x) for i, t in rows for p, x in enumerate((t or "").split("\n"))]
     texts = sorted({x for _, _, x in lines if len(x) >= 24})
 
     def near(a, b):
         if abs(len(a) - len(b)) > 2:
             return False
-        d = list(range(len(b) + 1))
+        d = {j: j for j in range(min(2, len(b)) + 1)}
         for i, x in enumerate(a, 1):
-            d, before = [i], d
-            for j, y in enumerate(b, 1):
-                d.append(min(before[j] + 1, d[-1] + 1, before[j - 1] + (x != y)))
-            if min(d) > 2:
+            before, d = d, {}
+            for j in range(max(0, i - 2), min(len(b), i + 2) + 1):
+                d[j] = min(before.get(j, 3) + 1, d.get(j - 1, 3) + 1, before.get(j - 1, 3) + (j == 0 or x != b[j - 1]) if j else 3)
+            if min(d.values()) > 2:
                 return False
-        return d[-1] <= 2
+        return d.get(len(b), 3) <= 2
 
     root = {x: x for _, _, x in lines}
-    degree = Counter()
+    linked = set()
 
     def find(x):
         while root[x] != x:
@@ -270,21 +304,66 @@ def test_line_dedup(docs, empty):
 
     for k, a in enumerate(texts):
         for b in texts[k + 1 :]:
-            if near(a, b):
-                degree[a] += 1
-                degree[b] += 1
-                root[find(b)] = find(a)
-    seen, removed, links = set(), Counter(), Counter()
-    for i, _, x in lines:
-        links[i] += degree[x]
+            if (a in linked and b in linked and find(a) == find(b)) or not near(a, b):
+                continue
+            linked |= {a, b}
+            root[find(b)] = find(a)
+    first, out = {}, {}
+    for i, _, x in sorted(lines, key=lambda r: r[:2]):
+        n = out.setdefault(i, [0, 0, 0, 0, 0])
+        again = bool(WORD.search(x)) and find(x) in first
+        n[0] += 1
+        n[1] += again
+        n[2] += again and first[find(x)] != x
+        n[3] += x in linked
+        n[4] += 0 if again else len(x)
         if WORD.search(x):
-            removed[i] += find(x) in seen
-            seen.add(find(x))
-    got = by_id(dedup_lines(docs))
-    assert {i: (r.n_removed, r.n_links) for i, r in got.items()} == {i: (removed[i], links[i]) for i, *_ in corpus()}
+            first.setdefault(find(x), x)
+    return {i: tuple(n) for i, n in out.items()}
+
+
+def line_figures(df):
+    return {r.doc_id: (r.n_lines, r.n_removed, r.n_near_removed, r.n_linked, r.n_kept_chars) for r in df.collect()}
+
+
+def test_line_dedup(docs, empty):
+    from glyphflow.llm.line_dedup import dedup_lines
+
+    assert line_figures(dedup_lines(docs)) == lines_by_force([r[:2] for r in corpus()])
     assert dedup_lines(empty).count() == 0
 
 
+def crowd(n, seed=9):
+    """Lines of one origin: most within two edits of it, some further off, and some that share a third of it only."""
+    r = random.Random(seed)
+    base = "".join(r.choice("abcdefgh ") for _ in range(60))
+    out = []
+    for k in range(n):
+        x = list(base)
+        for _ in range(r.choice((0, 1, 1, 2, 2, 3, 6))):
+            at = r.randrange(len(x))
+            x[at : at + r.randrange(2)] = r.choice(("", "x", "y", "é"))
+        out.append("".join(x) if k % 5 else base[:20] + "".join(r.choice("abcdefgh") for _ in range(40)))
+    return [(k, x) for k, x in enumerate(out)]
+
+
+def test_a_large_group_of_near_copies(spark):
+    from glyphflow.llm.line_dedup import dedup_lines
+
+    rows = crowd(500)
+    assert line_figures(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == lines_by_force(rows)
+
+
+@pytest.mark.parametrize("sizes", [{"SMALL": 1, "ROUNDS": 1, "LEVELS": 0, "BLOCK": 3}, {"SMALL": 1, "ROUNDS": 1, "LEVELS": 3}])
+def test_cuts_and_blocks_lose_no_component(spark, monkeypatch, sizes):
+    from glyphflow.llm import line_dedup as L
+
+    for k, v in sizes.items():
+        monkeypatch.setattr(L, k, v)
+    rows = crowd(80, 4) + [(k, None) for k in (100, 101)] + [(102, "  \n"), (103, "short"), (104, "short")]
+    assert line_figures(L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == lines_by_force(rows)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 
