@@ -9,9 +9,19 @@ to EDITS shorter, only those places. Pairs that meet and whose letter counts do
 them out are verified by edit distance in a band of diagonals, kept in the bits of one
 integer and moved one column at a time, after their common start is cut off.
 
+Links are transitive, so a group of near copies is never expanded into its pairs. A segment
+under which at most SMALL lines are indexed is joined with its probes: at most SMALL rows a
+probe. The lines of a larger one meet one line drawn from it instead, and where all fall into
+one component, no pair is left. Else the segment is cut out of its lines, and what remains
+of them is segmented anew, since it has the same few edits: that parts lines which only look
+alike. What is still large after LEVELS such cuts, or too short for another, is compared in
+blocks of BLOCK lines, and a line gives one link for each component that it reaches in a
+block. So all pairs that meet are verified or lie in one component.
+
 Distinct lines move once, as their keys, and postings once; texts of pairs are fetched
-for lines in a pair only. Lines carry a 64-bit hash as id. Links are transitive: of a component of equal or
-linked lines the first, by doc_id and line number, stays in its document.
+for lines in a pair or in a large segment only. Lines carry a 64-bit hash as id. Of a
+component of equal or linked lines the first, by doc_id and line number, stays in its
+document.
 
 Defined cases: null counts as empty; lines are parts between \n; a line of white space
 only is neither linked nor removed; shorter lines than MIN_CHARS are removed only as exact
@@ -28,8 +38,8 @@ from glyphflow.llm.graph import components
 from glyphflow.plans.staging import Workspace, broadcast_if_small
 
 EDITS, MIN_CHARS = 2, 24
-#: The first postings of a line that look for lines as long as itself: its own segments and two shifted ones.
-SAME_LENGTH = 5
+#: Lines under one segment that are joined with its probes; cuts for more, lines in a block, shortest text to cut.
+SMALL, LEVELS, BLOCK, SHORTEST = 16, 4, 256, 12
 _LETTERS = "aeinorstlu"
 _BITS = 2 * EDITS + 4
 _MASK = (1 << _BITS) - 1
@@ -42,25 +52,48 @@ def _segments(length: Column) -> list[tuple[Column, Column]]:
     return [(F.lit(1), one), (one + 1, two), (one + two + 1, base + F.when(rest >= 1, 1).otherwise(0))]
 
 
+def _places(less: int) -> list[tuple[int, int]]:
+    """(number, shift) of the segments of a line shorter by so much, as they may lie in a line."""
+    return [(k, shift) for k in range(1, EDITS + 2) for shift in range(max(1 - k, less - (EDITS + 1 - k)), min(k - 1, less + (EDITS + 1 - k)) + 1)]
+
+
+#: (less, number, shift) of a line's postings: its own segments first.
+LAYOUT = sorted(((less, *x) for less in range(EDITS + 1) for x in _places(less)), key=lambda x: (x[0] != 0 or x[2] != 0, x))
+
+
 def postings(line: Column, length: Column) -> Column:
-    """An array of keys: first the line's own segments (EDITS + 1), then other probes."""
-    own, probes = [], []
+    """An array of keys in the order of LAYOUT."""
     # a part of the line around all places of one segment, since a substring costs the length of what it is cut from
     margin = 2 * EDITS
     parts = []
     for start, size in _segments(length):
         first = F.greatest(F.lit(1), start - margin)
         parts.append((first, F.substring(line, first, size + 3 * margin)))
-    for less in range(EDITS + 1):
+    keys = []
+    for less, number, shift in LAYOUT:
         of = length - less
-        for number, (start, size) in enumerate(_segments(of), 1):
-            first, part = parts[number - 1]
-            low = max(1 - number, less - (EDITS + 1 - number))
-            high = min(number - 1, less + (EDITS + 1 - number))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(of, F.lit(number), F.substring(part, start + shift - first + 1, size))
-                (own if less == shift == 0 else probes).append(key)
-    return F.array(*own, *probes)
+        start, size = _segments(of)[number - 1]
+        first, part = parts[number - 1]
+        keys.append(F.xxhash64(of, F.lit(number), F.substring(part, start + shift - first + 1, size)))
+    return F.array(*keys)
+
+
+def _without(text: Column, length: Column, less: Column, number: Column, shift: Column) -> Column:
+    """The text without the place of a segment."""
+    segments = _segments(length - less)
+    start, size = (F.when(number == 1, segments[0][k]).when(number == 2, segments[1][k]).otherwise(segments[2][k]) for k in (0, 1))
+    return F.concat(F.substring(text, F.lit(1), start + shift - 1), F.substring(text, start + shift + size, length))
+
+
+def _again(key: Column, rest: Column, less: Column) -> Column:
+    """Postings of what remains of a line within its segment: (key, number, shift)."""
+    length = F.length(rest)
+    of = length - less
+    every = F.lit(None).cast("array<struct<key:bigint,number:int,shift:int>>")
+    for k in range(EDITS + 1):
+        some = [F.struct(F.xxhash64(key, F.lit(number), F.substring(rest, _segments(of)[number - 1][0] + shift, _segments(of)[number - 1][1])).alias("key"), F.lit(number).alias("number"), F.lit(shift).alias("shift")) for number, shift in _places(k)]
+        every = F.when(less == k, F.array(*some)).otherwise(every)
+    return every
 
 
 def letter_counts(line: Column) -> Column:
@@ -146,34 +179,111 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
     return let(F.struct(F.regexp_extract_all(a, every, F.lit(0)).alias("at"), F.regexp_extract_all(b, every, F.lit(0)).alias("bt"), a.alias("a"), b.alias("b")), whole)
 
 
+def _verified(ws: Workspace, pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """The pairs (a, b) within EDITS; their letters meet first, and lines only where these allow it."""
+    side = lambda x, *names: text.select(F.col("id").alias(f"i{x}"), *(F.col(n).alias(f"{n}_{x}") for n in names))
+    some = pairs.join(side("a", "letters"), F.col("a") == F.col("ia")).join(side("b", "letters"), F.col("b") == F.col("ib")).where(_may_link(F.col("letters_a"), F.col("letters_b")))
+    both = some.select("a", "b").join(side("a", "line"), F.col("a") == F.col("ia")).join(side("b", "line"), F.col("b") == F.col("ib"))
+    cut = both.select("a", "b", F.col("line_a").alias("la"), F.col("line_b").alias("lb"), common_start(F.col("line_a"), F.col("line_b")).alias("k"))
+    rest = ws.keep(cut.select("a", "b", F.expr("substring(la, k + 1)").alias("ra"), F.expr("substring(lb, k + 1)").alias("rb")))
+    return ws.keep(rest.where(within_edits(F.col("ra"), F.col("rb"))).select("a", "b"))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _divided(ws: Workspace, members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The members under keys that have lines of several components, with their component."""
+    its = broadcast_if_small(comp, 16).withColumnRenamed("id", "cid")
+    labelled = members.join(its, F.col("id") == F.col("cid"), "left").withColumn("component", F.coalesce("component", "id")).drop("cid")
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("key").alias("of"))
+    return ws.keep(labelled.join(several, F.col("key") == F.col("of"), "left_semi"))
+
+
+def _crowded(ws: Workspace, own: DataFrame) -> DataFrame:
+    """The keys under which more than SMALL lines are indexed."""
+    return ws.keep(own.groupBy("key").count().where(F.col("count") > SMALL).select(F.col("key").alias("of")))
+
+
+def _large_groups(ws: Workspace, members: DataFrame, text: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges, and such further links that pairs under one key lie in one component or are not linked.
+
+    members: key, id, less (by which lines indexed under the key are shorter), own (is it
+    indexed), rest (its line without what the key stands for).
+    """
+    comp = components(ws, edges)
+    for level in range(LEVELS + 1):
+        members = _divided(ws, members, comp)
+        if members.count() == 0:
+            break
+        draw = F.min(F.when(F.col("own"), F.struct(F.xxhash64(F.lit(level), "key", "id"), F.col("id").alias("lead"), F.col("component").alias("lead_component")))).alias("draw")
+        lead = members.groupBy("key").agg(draw).select(F.col("key").alias("of"), "draw.lead", "draw.lead_component")
+        pairs = members.join(lead, F.col("key") == F.col("of")).where("component <> lead_component").select(*_pair("id", "lead"))
+        fits = (F.length("rest") - F.col("less") >= SHORTEST) & F.lit(level < LEVELS)
+        late = members.where(~fits)
+        more = members.where(fits).select("key", "id", "less", "own", "rest", "component", F.explode(_again(F.col("key"), F.col("rest"), F.col("less"))).alias("x"))
+        more = ws.keep(more.select(F.col("x.key").alias("key"), "id", "less", (F.col("own") & (F.col("x.shift") == 0)).alias("own"), _without(F.col("rest"), F.length("rest"), F.col("less"), F.col("x.number"), F.col("x.shift")).alias("rest"), "component"))
+        hot = broadcast_if_small(_crowded(ws, more.where("own")), 8)
+        few = more.join(hot, F.col("key") == F.col("of"), "left_anti")
+        own = few.where("own").select(F.col("key").alias("of"), F.col("id").alias("id2"), F.col("component").alias("component2"))
+        met = few.join(own, (F.col("key") == F.col("of")) & (F.col("component") != F.col("component2"))).select(*_pair("id", "id2"))
+        new = _verified(ws, ws.keep(pairs.union(met).distinct()), text)
+        if late.limit(1).count():
+            new = new.union(_in_blocks(late, text))
+        edges = ws.keep(edges.union(new))
+        comp = components(ws, edges)
+        members = more.join(hot, F.col("key") == F.col("of"), "left_semi").drop("component").distinct()
+    return edges
+
+
+def _in_blocks(members: DataFrame, text: DataFrame) -> DataFrame:
+    """Links between the members under one key, one for each line, block and other component."""
+    its = members.join(text.select(F.col("id").alias("tid"), "letters", "line"), F.col("id") == F.col("tid"))
+    size = members.where("own").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("key", "of")
+    sized = its.join(size, F.col("key") == F.col("of"))
+    block = sized.where("own").groupBy(F.col("key").alias("bkey"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("bno")).agg(F.collect_list(F.struct("id", "component", "letters", "line")).alias("block"))
+    asked = sized.withColumn("no", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = asked.join(block, (F.col("key") == F.col("bkey")) & (F.col("no") == F.col("bno")))
+    near = F.filter("block", lambda y: (y.component != F.col("component")) & _may_link(y.letters, F.col("letters")) & within_edits(y.line, F.col("line")))
+    first = F.map_values(F.aggregate(near, F.expr("map()").cast("map<bigint,bigint>"), lambda acc, y: F.when(F.map_contains_key(acc, y.component), acc).otherwise(F.map_concat(acc, F.create_map(y.component, y.id)))))
+    return met.select("id", F.explode(first).alias("id2")).select(*_pair("id", "id2")).distinct()
+
+
 def line_links(ws: Workspace, docs_lines) -> DataFrame:
-    """Links (a, b) between ids of different lines within EDITS."""
+    """Links (a, b) between ids of different lines within EDITS, enough to connect every pair that is."""
     # keys are made before equal lines are put together: they move with less than the line, and equal lines give equal rows
     lines = docs_lines().select("line", F.length("line").alias("n")).where(F.col("n") >= MIN_CHARS)
     # staged before they are exploded, or all keys would go along with each posting
-    keyed = ws.keep(lines.select(F.xxhash64("line").alias("id"), letter_counts(F.col("line")).alias("letters"), postings(F.col("line"), F.col("n")).alias("keys")).distinct())
-    post = keyed.select("id", "letters", F.posexplode("keys").alias("pos", "key"))
-    own = post.where(F.col("pos") <= EDITS).select(F.col("id").alias("id2"), F.col("letters").alias("letters2"), F.col("key").alias("key2"))
+    keyed = ws.keep(lines.select(F.xxhash64("line").alias("id"), postings(F.col("line"), F.col("n")).alias("keys")).distinct())
+    hot = _crowded(ws, keyed.select(F.explode(F.slice("keys", 1, EDITS + 1)).alias("key")))
+    every = keyed.select("id", F.posexplode("keys").alias("pos", "key"))
+    crowd = broadcast_if_small(hot, 8)
+    few = every.join(crowd, F.col("key") == F.col("of"), "left_anti")
+    own = few.where(F.col("pos") <= EDITS).select(F.col("id").alias("id2"), F.col("key").alias("key2"))
     # lines of one length would meet from both sides; one is enough
-    once = F.when(F.col("pos") < SAME_LENGTH, F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2"))
-    met = post.join(own, (F.col("key") == F.col("key2")) & once & _may_link(F.col("letters"), F.col("letters2")))
-    pairs = ws.keep(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+    once = F.when(F.col("pos") < sum(less == 0 for less, _, _ in LAYOUT), F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2"))
+    pairs = ws.keep(few.join(own, (F.col("key") == F.col("key2")) & once).select(*_pair("id", "id2")).distinct())
+    member = ws.keep(every.join(crowd, F.col("key") == F.col("of"), "left_semi"))
     ws.drop(keyed)
-    ids = ws.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    ids = ws.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(member.select("id")).distinct())
     text = docs_lines().where(F.length("line") >= MIN_CHARS).withColumn("id", F.xxhash64("line")).join(broadcast_if_small(ids, 8), "id", "left_semi").select("id", "line").distinct()
-    text = ws.keep(text)
-    both = pairs.join(text.select(F.col("id").alias("ia"), F.col("line").alias("la")), F.col("a") == F.col("ia")).join(text.select(F.col("id").alias("ib"), F.col("line").alias("lb")), F.col("b") == F.col("ib"))
-    cut = both.select("a", "b", "la", "lb", common_start(F.col("la"), F.col("lb")).alias("k"))
-    rest = ws.keep(cut.select("a", "b", F.expr("substring(la, k + 1)").alias("ra"), F.expr("substring(lb, k + 1)").alias("rb")))
-    return ws.keep(rest.where(within_edits(F.col("ra"), F.col("rb"))).select("a", "b"))
+    text = ws.keep(text.withColumn("letters", letter_counts(F.col("line"))))
+    edges = _verified(ws, pairs, text)
+    if member.limit(1).count() == 0:
+        return edges
+    at = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in LAYOUT]), F.col("pos") + 1)
+    cut = member.select("key", "id", at(0).alias("less"), (F.col("pos") <= EDITS).alias("own"), at(1).alias("number"), at(2).alias("shift")).join(text.select(F.col("id").alias("tid"), "line"), F.col("id") == F.col("tid"))
+    rest = _without(F.col("line"), F.length("line"), F.col("less"), F.col("number"), F.col("shift"))
+    return _large_groups(ws, ws.keep(cut.select("key", "id", "less", "own", rest.alias("rest"))), text, edges)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_near_removed, n_links, n_kept_chars for each document.
+    """doc_id, n_lines, n_removed, n_near_removed, n_linked, n_kept_chars for each document.
 
     n_removed: lines that are not the first of their component; n_near_removed: those of
-    them that differ from its first line; n_links: links of the document's lines to
-    different lines.
+    them that differ from its first line; n_linked: the document's lines whose component
+    has different lines.
     """
     ws = Workspace(docs.sparkSession, "lines")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -184,10 +294,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     blank = ~F.col("line").rlike(r"[^\x20\x09-\x0D]")
     links = line_links(ws, docs_lines)
     lines = ws.keep(docs_lines().select("doc_id", "pos", F.xxhash64("line").alias("id"), F.length("line").alias("n"), blank.alias("blank")))
-    comp = components(ws, links)
-    both = links.select(F.col("a").alias("x")).union(links.select("b"))
-    degree = ws.keep(comp.join(both.groupBy("x").count(), F.col("id") == F.col("x")).select(F.col("id").alias("cid"), "component", "count"))
-    named = ws.keep(lines.join(degree, F.col("id") == F.col("cid"), "left").select("doc_id", "pos", "id", "n", "blank", F.coalesce("component", "id").alias("class"), F.coalesce("count", F.lit(0)).alias("links")))
+    comp = broadcast_if_small(ws.keep(components(ws, links).withColumnRenamed("id", "cid")), 16)
+    named = ws.keep(lines.join(comp, F.col("id") == F.col("cid"), "left").select("doc_id", "pos", "id", "n", "blank", F.coalesce("component", "id").alias("class"), F.col("cid").isNotNull().alias("linked")))
     many = ws.keep(named.where("NOT blank").groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1").select(F.col("class").alias("of"), "first_doc"))
     again = named.where("NOT blank").join(many, F.col("class") == F.col("of"))
     lead = ws.keep(again.where("doc_id = first_doc").groupBy("of").agg(F.min(F.struct("pos", "id")).alias("lead")).join(many.withColumnRenamed("of", "of2"), F.col("of") == F.col("of2")).select("of", "first_doc", F.col("lead.pos").alias("first_pos"), F.col("lead.id").alias("first_id")))
@@ -197,7 +305,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n_lines"),
         F.sum(gone.cast("long")).alias("n_removed"),
         F.sum((gone & (F.col("id") != F.col("first_id"))).cast("long")).alias("n_near_removed"),
-        F.sum("links").cast("long").alias("n_links"),
+        F.sum(F.col("linked").cast("long")).alias("n_linked"),
         F.sum(F.when(gone, 0).otherwise(F.col("n"))).cast("long").alias("n_kept_chars"),
     )
     return ws.finish(out)
