@@ -354,7 +354,7 @@ def test_a_large_group_of_near_copies(spark):
     assert line_figures(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == lines_by_force(rows)
 
 
-@pytest.mark.parametrize("sizes", [{"SMALL": 1, "ROUNDS": 1, "LEVELS": 0, "BLOCK": 3}, {"SMALL": 1, "ROUNDS": 1, "LEVELS": 3}])
+@pytest.mark.parametrize("sizes", [{"SMALL": 1, "LEVELS": 0, "BLOCK": 3}, {"SMALL": 1, "LEVELS": 3}])
 def test_cuts_and_blocks_lose_no_component(spark, monkeypatch, sizes):
     from glyphflow.llm import line_dedup as L
 
