@@ -13,9 +13,11 @@ if a collision exists is a second pass made, over the chunks of colliding finger
 Copies are counted by a partial aggregate; groups of one need no join back.
 
 Defined cases: null counts as empty, and an empty text has the recipe of one empty chunk;
-of equal texts the row with the largest doc_id stays (of rows with that same doc_id, each
-is reported and all name it); further columns are ignored by ``find_copies`` and kept by
-``drop_copies``; an empty table gives an empty table.
+of equal texts the row with the largest doc_id stays; of rows that share doc_id and text
+each is reported as kept by ``find_copies`` and one stays in ``drop_copies``; rows of one
+doc_id with different texts have each their own fate; a null doc_id stays only if its group
+has no other; further columns are ignored by ``find_copies`` and kept by ``drop_copies``,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def _grouped(ws: Workspace, docs: DataFrame, fp: Callable[[Column], Column]) ->
         "doc_id",
         F.coalesce("keep", "doc_id").alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (F.coalesce("keep", "doc_id") == F.col("doc_id")).alias("kept"),
+        F.coalesce("keep", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
         "text_sha256",
     )
 
@@ -79,7 +81,22 @@ def find_copies(docs: DataFrame, fp: Callable[[Column], Column] = fingerprint) -
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all columns."""
+    """The rows of docs that stay, with all columns.
+
+    Rows are known by doc_id and the hash of their text; the hash is a column for as long as
+    rows of one doc_id and text are put together, under a name that docs does not have.
+    """
     ws = Workspace(docs.sparkSession, "copies")
-    gone = ws.finish(_grouped(ws, docs, fingerprint).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    rows = ws.keep(_grouped(ws, docs, fingerprint).select(F.col("doc_id").alias("its_id"), F.col("text_sha256").alias("its_text"), "kept"))
+    text = "text_sha256"
+    while text in docs.columns:
+        text += "_"
+    named = docs.withColumn(text, F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = lambda other: named["doc_id"].eqNullSafe(other["its_id"]) & (named[text] == other["its_text"])
+    gone = rows.where(~F.col("kept")).drop("kept").distinct()
+    twice = ws.keep(rows.where("kept").groupBy("its_id", "its_text").count().where("count > 1").drop("count"))
+    left = named.join(gone, same(gone), "left_anti")
+    if twice.count() == 0:
+        return left.drop(text)
+    once = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", text])
+    return left.join(twice, same(twice), "left_anti").unionByName(once).drop(text)
