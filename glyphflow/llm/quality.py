@@ -5,8 +5,9 @@ inside n-grams found more than once, and inside repeated lines. A text whose rep
 share passes a limit is rejected, besides the plain base rule on word counts.
 
 Defined cases: a null or empty text has no words and fails the base rule (fewer than ten
-words); repeated rows are judged each on its own; columns beyond id and text are kept by
-``filter_quality`` whatever their names; an empty table gives an empty table.
+words); rows are judged each by its own text, also where they share an id; columns beyond
+doc_id and text are kept by ``filter_quality`` whatever their names; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -105,7 +106,11 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the figures, base_failed, and kept."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    m = d.mapInArrow(_measure_batches, SCHEMA)
+    return _verdict(d.mapInArrow(_measure_batches, SCHEMA))
+
+
+def _verdict(m: DataFrame) -> DataFrame:
+    """The measures with base_failed and kept."""
     chars = F.greatest("word_chars", F.lit(1))
     bad = F.lit(False)
     for n, most in NGRAM_LIMITS.items():
@@ -113,3 +118,12 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bad = bad | (F.col("dup_line_chars") > LINE_LIMIT * chars) | (F.col("n_symbols") > SYMBOL_LIMIT * chars)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return m.withColumn("base_failed", base).withColumn("kept", ~(base | bad))
+
+
+def filter_quality(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text passes, with all columns; a verdict belongs to an id and a text."""
+    of_text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    key = F.struct(docs["doc_id"].cast("long").alias("id"), of_text.alias("of_text"))
+    judged = _verdict(docs.select(key.alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(_measure_batches, SCHEMA.replace("doc_id long", "doc_id struct<id:bigint,of_text:bigint>")))
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id.id").alias("gone_id"), F.col("doc_id.of_text").alias("gone_text")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (of_text == gone["gone_text"]), "left_anti")
