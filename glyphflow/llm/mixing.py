@@ -14,9 +14,10 @@ figures cover every row.
 
 Defined cases: a null or empty text has no tokens, prior posteriors and rate 1; without
 labelled rows there is one domain "all"; a domain without tokens cannot meet a target and
-is left out of the fit; a label with a null is ignored, repeated labels count once each;
-an empty table gives an empty table; further columns are ignored by ``mix`` and kept by
-``apply_mix``.
+is left out of the fit, and where PASSES steps do not meet the targets the last ones stand;
+a label with a null is ignored, repeated labels count once each; rows that share an id have
+each the rate of its own text; an empty table gives an empty table; further columns are
+ignored by ``mix`` and kept by ``apply_mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,13 +71,16 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
     """docs: doc_id, text. labels: doc_id, domain."""
     known = labels.where("doc_id IS NOT NULL AND domain IS NOT NULL").select("doc_id", "domain").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("domain", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_features, "domain string, buckets array<int>").toArrow()
-    names = sorted(set(rows.column("domain").to_pylist())) or ["all"]
-    count, size = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
+    rows = docs.join(F.broadcast(sample), "doc_id").select("domain", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_features, "domain string, buckets array<int>")
+    # bucket -1 counts the documents; what reaches the driver is at most a number for each domain and bucket
+    each = rows.select("domain", F.explode(F.array_append("buckets", F.lit(-1))).alias("bucket")).groupBy("domain", "bucket").count().toArrow()
+    names = sorted(set(each.column("domain").to_pylist())) or ["all"]
     at = {x: k for k, x in enumerate(names)}
-    for domain, buckets in zip(rows.column("domain").to_pylist(), rows.column("buckets").to_pylist()):
-        count[buckets, at[domain]] += 1
-        size[at[domain]] += 1
+    domain = np.array([at[x] for x in each.column("domain").to_pylist()], np.int64)
+    bucket, n = each.column("bucket").to_numpy().astype(np.int64), each.column("count").to_numpy()
+    count, size = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
+    count[bucket[bucket >= 0], domain[bucket >= 0]] = n[bucket >= 0]
+    size[domain[bucket < 0]] = n[bucket < 0]
     # the share of a domain's documents with the word, against that of all, for words that tell
     share = (count + 0.1) / (size + 0.2)
     whole = (count.sum(1, keepdims=True) + 0.1) / (size.sum() + 0.2)
@@ -92,7 +96,7 @@ def _score(model: Classifier):
                 n, row, bucket = _distinct_words(part.column(1))
                 p = model.posteriors(len(n), row, bucket)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), flat], ["doc_id", "n_tokens", "posterior"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), flat, part.column(2)], ["doc_id", "n_tokens", "posterior", "of_text"])
 
     return run
 
@@ -146,7 +150,7 @@ def _with_rates(history: list[np.ndarray], domains: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, domains)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(p, history))], ["doc_id", "n_tokens", "posterior", "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(p, history))], ["doc_id", "n_tokens", "posterior", "of_text", "rate"])
 
     return run
 
@@ -167,11 +171,16 @@ def mix(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | None = None
     tokens times its share in keep. copies is the rate rounded up or down by a hash of the
     id, so that its expectation is the rate and a rerun gives the same.
     """
+    return _mixed(docs, labels, keep, targets).drop("of_text")
+
+
+def _mixed(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | None = None, targets: dict[str, float] | None = None) -> DataFrame:
+    """What mix gives, with the hash of the text."""
     ws = Workspace(docs.sparkSession, "mixing")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("of_text", F.xxhash64("text"))
     model = fit_classifier(d, labels)
     m = len(model.names)
-    scored = ws.keep(d.mapInArrow(_score(model), "doc_id long, n_tokens long, posterior array<double>"))
+    scored = ws.keep(d.mapInArrow(_score(model), "doc_id long, n_tokens long, posterior array<double>, of_text long"))
     if targets is None:
         now = scored.select(F.posexplode("posterior").alias("k", "p"), "n_tokens").groupBy("k").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("x")).collect()
         own = {r.k: r.x for r in now}
@@ -179,7 +188,7 @@ def mix(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | None = None
     else:
         goal = np.array([targets.get(x, np.nan) for x in model.names])
     history = fit_rates(scored, goal, m)
-    rated = scored.mapInArrow(_with_rates(history, m), "doc_id long, n_tokens long, posterior array<double>, rate double")
+    rated = scored.mapInArrow(_with_rates(history, m), "doc_id long, n_tokens long, posterior array<double>, of_text long, rate double")
     unit = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / (1 << 30)
     out = rated.withColumn("copies", F.floor(F.col("rate") + 1e-6 + (1 - 1e-6) * unit).cast("long"))
     for k, name in enumerate(model.names):
@@ -189,6 +198,8 @@ def mix(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | None = None
 
 def apply_mix(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs by their copies (none, one or more), with all columns."""
-    own = mix(docs, labels, **how).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
-    more = docs.join(own.where("mixed_copies <> 1"), docs["doc_id"] == F.col("mixed_id"), "left").where("mixed_copies IS NULL OR mixed_copies > 0")
-    return more.withColumn("mixed_copies", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce("mixed_copies", F.lit(1))).cast("int")))).drop("mixed_id", "mixed_copies")
+    own = _mixed(docs, labels, **how).where("copies <> 1").select(F.col("doc_id").alias("its_id"), F.col("of_text").alias("its_text"), "copies").distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    of_text = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    more = rows.join(own, F.col("row.doc_id").eqNullSafe(F.col("its_id")) & (of_text == F.col("its_text")), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return more.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
