@@ -1,9 +1,10 @@
 """Personal data spans by weak supervision.
 
 Every text is searched for the base patterns (email, ip, card, phone), whose valid
-matches always stay, and for looser candidates of the same kinds: phone numbers without
-the plus sign, addresses written with "at" and "dot", digit groups and dotted numbers that
-fail a check. Labelers vote on each candidate: the strict regular expression, checks of
+matches always stay, and for looser candidates: phone numbers without the plus sign,
+addresses written with "at" and "dot", digit groups and dotted numbers that fail a check,
+and, as a fifth kind, secrets: long runs of letters and digits such as access tokens.
+Labelers vote on each candidate: the strict regular expression, checks of
 value (Luhn, ranges), a gazetteer of cue words near the span, and its context. The votes
 are counted over all documents by pattern, expectation-maximisation estimates each
 labeler's reliability, and a logistic classifier is trained on the span features with the
@@ -33,21 +34,23 @@ from pyspark.sql import functions as F
 
 from glyphflow.plans.staging import Workspace
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 ACCEPT = 0.9
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63}){1,4}")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+.-])(?<!\+[0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])")
+_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 #: Cue words by kind, fixed values.
 GAZETTEER = {
     "email": ("mail", "email", "contact", "write", "courriel", "correo"),
     "ip": ("ip", "host", "server", "address", "addr", "login"),
     "card": ("card", "visa", "mastercard", "credit", "carte", "tarjeta", "karte"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "telefono"),
+    "secret": ("token", "key", "secret", "password", "passwd", "apikey", "api_key", "auth", "bearer", "credential"),
 }
 _CUE = {k: re.compile(rf"(?i)\b(?:{'|'.join(v)})\b") for k, v in GAZETTEER.items()}
 LABELERS = ("regex", "value", "gazetteer", "context")
@@ -81,6 +84,12 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at += 1
 
 
+def _looks_random(run: str) -> bool:
+    """Letters and digits change often: hexadecimal digits only, or both cases; words joined by signs do not."""
+    changes = sum((a in "0123456789") != (b in "0123456789") for a, b in zip(run, run[1:]))
+    return changes * 6 >= len(run) and (bool(_HEX.match(run)) or run.lower() != run != run.upper())
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool, bool]]:
     """(start, end, kind, loose, valid) of all candidates; base matches are those not loose and valid."""
     out = []
@@ -95,6 +104,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, bool]]:
         if "+" in text:
             out += [(m.start(), m.end(), 3, False, 10 <= len(_digits(m[0])) <= 15) for m in _PHONE.finditer(text)]
         out += [(m.start(), m.end(), 3, True, True) for m in _LOOSE_PHONE.finditer(text)]
+        out += [(m.start(), m.end(), 4, True, _looks_random(m[0])) for m in _SECRET.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
     if "dot" in text and "at" in text:
         out += [(m.start(), m.end(), 0, True, True) for m in _LOOSE_MAIL.finditer(text)]
     return out
@@ -108,7 +118,11 @@ def votes_and_features(text: str, span: tuple[int, int, int, bool, bool]) -> tup
     bounded = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
     inner = text[a:b]
     many, grouped = len(_digits(inner)) >= 10, bool(re.search(r"[ ().-]", inner))
-    vote = (not loose and valid) | valid << 1 | cue << 2 | (bounded and (cue or not loose)) << 3
+    if kind == 4:  # a fixed length as a pattern, a value assigned or in quotes as context
+        assigned = bool(re.search(r"[=:][ \"']{0,3}\Z|[\"'`]\Z", before))
+        vote = (len(inner) in (20, 32, 40, 64)) | valid << 1 | cue << 2 | assigned << 3
+    else:
+        vote = (not loose and valid) | valid << 1 | cue << 2 | (bounded and (cue or not loose)) << 3
     return vote, loose | valid << 1 | cue << 2 | bounded << 3 | many << 4 | grouped << 5
 
 
@@ -199,10 +213,10 @@ def _extract(model):
             cols: list[list] = [[] for _ in range(6)]
             for text in batch.column(1).to_pylist():
                 base, every = find_spans(text, model)
-                n = [0] * 4
+                n = [0] * len(KINDS)
                 for _, k, _ in base:
                     n[k] += 1
-                for x, v in zip(cols, (*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every))):
+                for x, v in zip(cols, (*n[:4], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every))):
                     x.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in cols[:4]), *(pa.array(x, pa.string()) for x in cols[4:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
@@ -210,7 +224,10 @@ def _extract(model):
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs.
+
+    spans may hold secrets, which are in no base pattern.
+    """
     ws = Workspace(docs.sparkSession, "pii")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # the JVM passes by texts that cannot hold a candidate, so that they never reach Python here
