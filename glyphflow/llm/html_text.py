@@ -20,8 +20,9 @@ The hash index is joined by hash, into which the host goes, and by page, so that
 a third of all pages is no single group. Up to SHARED templates are shared with all workers;
 beyond, a page's html crosses the network once, by its key.
 
-Defined cases: null counts as empty and gives an empty text; unclosed and stray tags,
-cut-off pages and unknown entities are read as browsers do; rows with the same page_id and
+Defined cases: null counts as empty and gives an empty text; unclosed and stray tags and
+unknown entities are read as browsers do, and what a page that is cut off inside a tag has
+after that tag's < is no text; any page is parsed in linear time; rows with the same page_id and
 html have the same result; an empty table gives an empty table; further columns are ignored.
 """
 
@@ -42,7 +43,10 @@ from glyphflow.plans.staging import Workspace
 MIN_PAGES = 5
 #: Up to so many templates (8 bytes each) are shared with all workers; more meet their pages in a join.
 SHARED = 1 << 24
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*'|)|[\"'])*)/?>|[^<]+|<", re.S)
+#: Elements nested deeper than this are read as neighbours, as browsers do.
+DEEPEST = 512
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Element names by their place in HTML, fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,7 +61,10 @@ NOTICE = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion recommended recommendations related replies reply "
     "respond search share sharing shares sidebar signup site-header skip social sponsor sponsored sponsors subscribe subscription tags teaser toolbar tracking trending widget widgets contentinfo complementary alert alertdialog".split()
 )
+#: Words that say where or in what such a thing stands, and nothing of a layout, fixed values.
+NEUTRAL = frozenset("site page top bottom left right box wrap wrapper container list section area block bar inner outer global main item items panel slot unit links link form row col text content title heading buttons button icon icons".split())
 _WORD = re.compile(r"[^A-Za-z]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 _GAP = re.compile(r"\s+")
 _LETTER = re.compile(r"[^\W_]")
 
@@ -67,48 +74,113 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _unwanted(name: str, attrs: str) -> bool:
+def _named_so(value: str) -> bool:
+    """True if a token of class, id or role is a notice word, or joins one to neutral or other notice words.
+
+    So "cookie-notice" and "site-footer" are, and "no-sidebar", "has-sidebar" or
+    "search-optimised" are not, which tell of a layout.
+    """
+    for token in _CAMEL.sub(r"\1-\2", value).lower().split():
+        if token in NOTICE:
+            return True
+        words = [w for w in _WORD.split(token) if w]
+        if any(w in NOTICE for w in words) and all(w in NOTICE or w in NEUTRAL for w in words):
+            return True
+    return False
+
+
+def _unwanted(name: str, attrs: str) -> int:
+    """1 by its element name or because it is hidden, 2 by the words of its attributes, else 0."""
     if name in DROPPED:
-        return True
+        return 1
     if not attrs or name in ("html", "body"):
-        return False
+        return 0
+    named = 0
     for m in _ATTR.finditer(attrs):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if kind in ("class", "id", "role"):
-            for token in value.lower().split():
-                if token in NOTICE or any(w in NOTICE for w in _WORD.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", token))):
-                    return True
-    return False
+            return 1
+        if kind in ("class", "id", "role") and _named_so(value):
+            named = 2
+    return named
 
 
 class Node:
     __slots__ = ("name", "kids", "bad", "hash", "size")
 
-    def __init__(self, name: str, bad: bool = False):
+    def __init__(self, name: str, bad: int = 0):
         self.name, self.kids, self.bad, self.hash, self.size = name, [], bad, 0, 0
 
 
+class _Tags:
+    """Finds the ends of tags; each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        """The place of a string, or -1; what is not there is not looked for again."""
+        if what in self.none:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.none.add(what)
+        return k
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag, passing over quoted values, or -1."""
+        page = self.page
+        while m := _MARK.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            k = m.start() - 1
+            while page[k] in " \t\r\n\f":
+                k -= 1
+            if page[k] == "=":
+                close = self.find(m[0], at)
+                at = close + 1 if close >= 0 else at
+        return -1
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; kids are nodes and strings of text as it stands in the page."""
+    """The tree of a page; kids are nodes and strings of text as it stands in the page.
+
+    One pass: a tag, comment or raw element that is cut off takes the rest of the page with
+    it, as in browsers.
+    """
     root = Node("#root")
-    stack = [root]
+    stack, tags, lower = _Stack(root), _Tags(page), ""
+    names = stack.names
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            s = m[0]
-            if not s.startswith(("<!", "<?")) or s == "<":
-                stack[-1].kids.append(s)
+        low = page.find("<", at)
+        if low != at:
+            stack[-1].kids.append(page[at : low if low >= 0 else n])
+            if low < 0:
+                break
+        nxt = page[low + 1 : low + 2]
+        ends = nxt == "/"
+        m = _NAME.match(page, low + 1 + ends)
+        if m is None:
+            if page.startswith("<!--", low):
+                end = tags.find("-->", low + 4)
+                at = end + 3 if end >= 0 else n
+            elif nxt in ("!", "?") or ends and low + 2 < n:
+                end = tags.find(">", low)
+                at = end + 1 if end >= 0 else n
+            else:
+                stack[-1].kids.append("<")
+                at = low + 1
             continue
-        name = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        close = tags.end(m.end())
+        if close < 0:
+            break
+        at, name = close + 1, m[0].lower()
+        if ends:
+            for k in range(len(stack) - 1, 0, -1) if names.get(name) else ():
                 if stack[k].name == name:
-                    del stack[k:]
+                    _leave(stack, k)
                     break
             continue
         if name in CLOSES_P:
@@ -123,22 +195,67 @@ def parse(page: str) -> Node:
             _close(stack, "dd", ("dl",))
         elif name == "option":
             _close(stack, "option", ("select",))
-        node = Node(name, _unwanted(name, m[3]))
+        alone = page[close - 1] == "/"
+        node = Node(name, _unwanted(name, page[m.end() : close - alone]))
         stack[-1].kids.append(node)
+        if alone:
+            continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if m[0].endswith("/>"):
-                continue
-            at = end.end() if end else n
-        elif name not in VOID and not m[0].endswith("/>"):
+            lower = lower or page.translate(_ASCII_LOWER)
+            end = lower.find(f"</{name}", at)
+            while end >= 0 and lower[end + len(name) + 2 : end + len(name) + 3].strip(" \t\r\n\f/>"):
+                end = lower.find(f"</{name}", end + 1)
+            end = page.find(">", end) if end >= 0 else -1
+            at = end + 1 if end >= 0 else n
+        elif name not in VOID and len(stack) < DEEPEST:
             stack.append(node)
+            names[name] = names.get(name, 0) + 1
+    _spare_article(root)
     return root
 
 
-def _close(stack: list[Node], name: str, walls: tuple[str, ...]) -> None:
+_ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
+
+
+def _spare_article(root: Node) -> None:
+    """If words of attributes alone leave a page without its <article> and <main>, these words are disregarded around them."""
+    found: list[list[Node]] = []
+    todo: list[tuple[Node, tuple]] = [(root, ())]
+    while todo:
+        node, above = todo.pop()
+        if node.bad == 1:
+            continue
+        above = (node, above) if node.bad else above
+        if node.name in ("article", "main"):
+            if not above:
+                return
+            found.append(above)
+        todo += [(x, above) for x in node.kids if x.__class__ is Node]
+    for above in found:
+        while above:
+            above[0].bad, above = 0, above[1]
+
+
+class _Stack(list):
+    """Open elements, and how many there are of each name."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.names: dict[str, int] = {}
+
+
+def _leave(stack: _Stack, k: int) -> None:
+    for node in stack[k:]:
+        stack.names[node.name] -= 1
+    del stack[k:]
+
+
+def _close(stack: _Stack, name: str, walls: tuple[str, ...]) -> None:
+    if not stack.names.get(name):
+        return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].name == name:
-            del stack[k:]
+            _leave(stack, k)
             return
         if stack[k].name in walls or stack[k].bad:
             return
@@ -208,7 +325,7 @@ def main_text(page: str | None, templates: frozenset[int] | set[int] | np.ndarra
         else:
             hit = [_signed(x.hash) in templates for x in nodes]
         for node, bad in zip(nodes, hit):
-            node.bad = node.bad or bad
+            node.bad = node.bad or int(bad)
     return _text(root)
 
 
