@@ -33,3 +33,37 @@ def test_shared_and_joined_templates_give_the_same(spark):
 
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert sorted(extract_main_text(pages).collect(), key=str) == sorted(extract_main_text(pages, shared=-1).collect(), key=str)
+
+
+def test_words_of_a_layout_delete_nothing():
+    from glyphflow.llm.html_text import main_text
+
+    assert main_text('<article class="post no-sidebar"><p>Hello world</p></article>') == "Hello world"
+    assert main_text('<div class="page has-sidebar"><article><p>Hello</p></article></div>') == "Hello"
+    assert main_text('<main class="search-optimised-article">x</main>') == "x"
+    assert main_text('<div class="widget"><article>in</article></div><div class="ad-box">buy</div>') == "in"
+    assert main_text('<div class="related"><article>teaser</article></div><article>real</article>') == "real"
+    assert main_text('<p>a</p><div id="cookie-notice">b</div><div class="siteFooter">c</div>') == "a"
+
+
+def test_cut_off_pages_are_parsed_in_linear_time():
+    import time
+
+    from glyphflow.llm.html_text import main_text
+
+    for x in ('<a x="" ', "<a ", "<a x='", "<b>", "<b></x>", "</", "<!", "<script ", "<p>", 'a="', "&", "<!--"):
+        t = time.process_time()
+        main_text(x * ((1 << 20) // len(x)))
+        assert time.process_time() - t < 20, x
+    assert main_text("<p>one</p>two <a href='") == "one\ntwo"
+    assert main_text("a < b</ p>c<?x?>d<p title='it's'>e") == "a < bcd\ne"
+    assert main_text('<script>var t="</p>";</script>z<SCRIPT>q</Script >w<title>t') == "zw"
+
+
+def test_rows_with_clashing_columns_nulls_and_repeats(spark):
+    from glyphflow.llm.html_text import extract_main_text
+
+    rows = [(1, "http://h/1", "<p>a</p>", "x", 1), (1, "http://h/1", "<p>a</p>", "y", 2), (None, None, None, None, 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, hash long")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract_main_text(pages).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
+    assert extract_main_text(pages.where("hash > 9")).count() == 0
