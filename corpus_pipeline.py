@@ -7,20 +7,18 @@ results of all but the last, which returns packed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glyphflow.llm.exact_dedup import drop_copies
 from glyphflow.llm.minhash_join import drop_near_duplicates
 from glyphflow.llm.mixing import apply_mix, label_domains
 from glyphflow.llm.packing import pack
-from glyphflow.llm.quality import score_quality
+from glyphflow.llm.quality import filter_quality
 from glyphflow.plans.staging import Workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    gone = score_quality(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Rows whose text the rules reject go."""
+    return filter_quality(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
