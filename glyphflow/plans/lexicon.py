@@ -46,22 +46,17 @@ def max_match_segment(spark, d):
     return segment(names, "joined", lex).select("p_partkey", F.array_join("words", "|").alias("words"))
 
 
-@query("SELECT word, p_brand, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, p_brand) - 1 AS rank FROM (SELECT word, p_brand, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL)) WHERE rank < 5")
+@query("SELECT word, p_brand, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, p_brand) - 1 AS rank FROM (SELECT word, p_brand, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL)")
 def reading_rank(spark, d):
-    return reading_rank_whole(spark, d).where("rank < 5")
-
-
-@query()
-def reading_rank_whole(spark, d):
-    """Every candidate of every word; reading_rank and its SQL keep five."""
+    """Every candidate of every word by its rank."""
     c = _words(spark, d).groupBy("word", "p_brand").agg(F.count("*").alias("n"))
     return c.withColumn("rank", (F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "p_brand")) - 1).cast("long"))
 
 
-@query("SELECT word, arg_max(p_brand, {'n': n, 'k': p_brand}) AS best, count(*) > 1 AS ambiguous FROM (SELECT word, p_brand, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL) GROUP BY word")
+@query("SELECT word, min(p_brand) FILTER (WHERE n = top) AS best, count(*) > 1 AS ambiguous FROM (SELECT *, max(n) OVER (PARTITION BY word) AS top FROM (SELECT word, p_brand, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL)) GROUP BY word")
 def best_reading(spark, d):
     c = _words(spark, d).groupBy("word", "p_brand").agg(F.count("*").alias("n"))
-    return c.groupBy("word").agg(F.max_by("p_brand", F.struct("n", "p_brand")).alias("best"), (F.count("*") > 1).alias("ambiguous"))
+    return c.groupBy("word").agg(F.min_by("p_brand", F.struct(-F.col("n"), "p_brand")).alias("best"), (F.count("*") > 1).alias("ambiguous"))
 
 
 @query("SELECT word, arg_max(p_brand, p_brand) AS last_source, max(p_partkey) FILTER (WHERE p_brand = b) AS last_part FROM (SELECT *, max(p_brand) OVER (PARTITION BY word) AS b FROM (SELECT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS word FROM part)) GROUP BY word")

@@ -29,15 +29,9 @@ def content_dedup(spark, d):
     return h.join(first, "content_hash")
 
 
-@query("SELECT d.doc_id, l.quality IS NOT NULL AS has_label, coalesce(e.n, 0) AS n_events, row_number() OVER (ORDER BY coalesce(e.last, 0) DESC, d.doc_id DESC) AS place FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN (SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last FROM events GROUP BY user_id) e ON e.user_id = d.doc_id QUALIFY place <= 100")
+@query("SELECT d.doc_id, l.quality IS NOT NULL AS has_label, coalesce(e.n, 0) AS n_events, coalesce(e.last, 0) AS last FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN (SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last FROM events GROUP BY user_id) e ON e.user_id = d.doc_id")
 def library_list(spark, d):
-    top = _library(spark, d).orderBy(F.desc("last"), F.desc("doc_id")).limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last"), F.desc("doc_id"))).cast("long")).drop("last")
-
-
-@query()
-def library_list_whole(spark, d):
-    """Every text with its sort keys, last and doc_id, both descending; library_list and its SQL keep 100."""
+    """Every text with its sort keys, last and doc_id, both descending; rows carry no place, which one task would have to number."""
     return _library(spark, d)
 
 
@@ -103,10 +97,13 @@ def nearest_anchor(spark, d):
 
 @query("SELECT user_id, round(coalesce(list_sort(list(value) FILTER (WHERE value > 0))[(count(*) FILTER (WHERE value > 0)) // 2 + 1], 0), 6) AS upper_median FROM events GROUP BY user_id")
 def upper_median(spark, d):
+    """The upper middle of the positive values, by counts of equal values, so that partial sums go to a key's group."""
+    each = _t(spark, d, "events").groupBy("user_id", "value").agg(F.count("*").alias("n"))
     w = Window.partitionBy("user_id")
-    p = _t(spark, d, "events").where("value > 0").select("user_id", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    m = p.where("k = n div 2").select(F.col("user_id").alias("u"), F.round("value", 6).alias("upper_median"))
-    return _t(spark, d, "events").select("user_id").distinct().join(m, F.col("user_id") == F.col("u"), "left").select("user_id", F.coalesce("upper_median", F.lit(0.0)).alias("upper_median"))
+    own = F.when(F.col("value") > 0, F.col("n")).otherwise(0)
+    upto = each.withColumn("upto", F.sum(own).over(w.orderBy("value"))).withColumn("n", F.sum(own).over(w))
+    # the first value that more than half of the count reaches
+    return upto.groupBy("user_id").agg(F.round(F.coalesce(F.min(F.when((F.col("value") > 0) & (F.col("upto") > F.floor(F.col("n") / 2)), F.col("value"))), F.lit(0.0)), 6).alias("upper_median"))
 
 
 @query("SELECT bucket, round(peak, 6) AS peak, round(peak / max(peak) OVER (), 6) AS level FROM (SELECT (epoch_us(ts) // 3600000000)::BIGINT AS bucket, max(abs(value)) AS peak FROM events GROUP BY ALL)")
@@ -157,9 +154,9 @@ def preference_defaults(spark, d):
     return _t(spark, d, "nation").join(k, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_nationkey", F.coalesce("flag", F.col("n_regionkey") == 1).alias("enabled"))
 
 
-@query("SELECT DISTINCT user_id % 400 AS id FROM events EXCEPT SELECT doc_id FROM labels")
+@query("SELECT DISTINCT user_id AS id FROM events EXCEPT SELECT doc_id FROM labels")
 def missing_requests(spark, d):
-    return _t(spark, d, "events").select((F.col("user_id") % 400).alias("id")).distinct().join(_t(spark, d, "labels"), F.col("id") == F.col("doc_id"), "left_anti")
+    return _t(spark, d, "events").select(F.col("user_id").alias("id")).distinct().join(_t(spark, d, "labels"), F.col("id") == F.col("doc_id"), "left_anti")
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT c_nationkey AS k, min(c_name) AS v FROM customer WHERE c_acctbal > 9500 GROUP BY ALL) a FULL JOIN (SELECT s_nationkey AS k, min(s_name) AS v FROM supplier GROUP BY ALL) b ON a.k = b.k")
@@ -169,15 +166,9 @@ def merge_keep_current(spark, d):
     return a.join(b, F.col("ka") == F.col("kb"), "full").select(F.coalesce("ka", "kb").alias("k"), F.coalesce("va", "vb").alias("v"))
 
 
-@query("SELECT lang, doc_id, coalesce(list_position(['fr','de'], lang), 3) AS rank, row_number() OVER (ORDER BY coalesce(list_position(['fr','de'], lang), 3), doc_id) AS place FROM documents QUALIFY place <= 50")
+@query("SELECT lang, doc_id, coalesce(list_position(['fr','de'], lang), 3) AS rank FROM documents")
 def language_order(spark, d):
-    x = language_order_whole(spark, d).orderBy("rank", "doc_id").limit(50)
-    return x.withColumn("place", F.row_number().over(Window.orderBy("rank", "doc_id")).cast("long"))
-
-
-@query()
-def language_order_whole(spark, d):
-    """Every document with its sort keys, rank and doc_id; language_order and its SQL keep 50."""
+    """Every document with its sort keys, rank and doc_id."""
     r = F.array_position(F.array(F.lit("fr"), F.lit("de")), F.col("lang"))
     return _t(spark, d, "documents").select("lang", "doc_id", F.when(r == 0, 3).otherwise(r).cast("int").alias("rank"))
 

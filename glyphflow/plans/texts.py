@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions import text as X
 from glyphflow.operators.align import alignment_counts
+from glyphflow.operators.tokens import token_rows
 
 QUERIES, SQL = {}, {}
 
@@ -25,48 +26,101 @@ def _docs(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
-_CNT = "sum(length(text) - length(regexp_replace(text, '{}', '', 'g')))::BIGINT"
+#: Texts in other scripts beside the documents, which have Latin ones only.
+_OWN = ["中文abc，混排。123 第二", "かな漢字 カナ", "Привет, мир!", "Ｆｕｌｌ width × ÷ ١٢", "one\r\ntwo\r\n\r\nthree\n", "𠀀𠮷野家😀x", "é́a", "", " ", "　全角　空白 x", "「好。」！他说", "a_b-c $5 ½ ²"]
+_OWN_SQL = "(SELECT doc_id, text FROM documents UNION ALL VALUES " + ", ".join("({}, {})".format(-k, " || ".join(f"chr({ord(c)})" for c in t) or "''") for k, t in enumerate(_OWN, 1)) + ") own"
 
 
-@query("SELECT lang, sum(length(text))::BIGINT AS n_chars, " + ", ".join(_CNT.format(p) + f" AS n_{k}" for k, p in (("han", r"\p{Han}"), ("letter", r"\p{L}"), ("number", r"\p{N}"), ("whitespace", r"[ \t\r\n\f]"), ("punctuation", r"[\p{P}\p{Sm}\p{Sc}\p{Sk}]"))) + " FROM documents GROUP BY lang")
+def _texts(spark, d):
+    own = spark.createDataFrame([(-k, t) for k, t in enumerate(_OWN, 1)], "doc_id long, text string")
+    return _docs(spark, d).select("doc_id", "text").unionByName(own)
+
+
+def _sql(pattern: str) -> str:
+    """A pattern as a literal of the oracle."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_RUNS = f"regexp_extract_all(text, {_sql(X.RUN)})"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(t, {_sql(p)}) THEN '{k}'" for k, p in X.KINDS.items()) + " ELSE 'other' END"
+_ROWS = f"(SELECT doc_id, i, t, {_KIND} AS kind, length(t) + len(regexp_extract_all(t, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS width FROM (SELECT doc_id, r[i] AS t, i FROM (SELECT doc_id, r, unnest(range(1, len(r) + 1)) AS i FROM (SELECT doc_id, {_RUNS} AS r FROM {_OWN_SQL}))))"
+
+
+@query("SELECT lang, sum(length(text))::BIGINT AS n_chars, " + ", ".join(f"sum(len(regexp_extract_all(text, {_sql(p)})))::BIGINT AS n_{k}" for k, p in X.CLASSES.items()) + f" FROM (SELECT coalesce(lang, 'own') AS lang, own.text AS text FROM {_OWN_SQL} LEFT JOIN documents USING (doc_id)) GROUP BY lang")
 def script_class_profile(spark, d):
     t = F.col("text")
-    return _docs(spark, d).groupBy("lang").agg(F.sum(F.length(t)).alias("n_chars"), *(F.sum(X.count_matching(t, p)).alias(f"n_{k}") for k, p in X.CLASSES.items()))
+    every = _docs(spark, d).select("lang", "text").unionByName(_texts(spark, d).where("doc_id < 0").select(F.lit("own").alias("lang"), "text"))
+    return every.groupBy("lang").agg(F.sum(F.length(t)).alias("n_chars"), *(F.sum(X.count_matching(t, p)).alias(f"n_{k}") for k, p in X.CLASSES.items()))
 
 
-@query("SELECT doc_id, (i - 1)::BIGINT AS block, length(l[i])::BIGINT AS n_chars, trim(l[i]) = '' AS blank FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+@query(f"SELECT doc_id, (i - 1)::BIGINT AS block, length(l[i])::BIGINT AS n_chars, NOT regexp_matches(l[i], {_sql(f'[^{X.SPACE}]')}) AS blank FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {_sql(X.BLOCK)}) AS l FROM {_OWN_SQL}))")
 def paragraph_blocks(spark, d):
-    b = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    return b.select("doc_id", F.col("block").cast("long").alias("block"), F.length("line").cast("long").alias("n_chars"), (F.trim("line") == "").alias("blank"))
+    b = _texts(spark, d).select("doc_id", F.posexplode(X.blocks(F.col("text"))).alias("block", "line"))
+    return b.select("doc_id", F.col("block").cast("long").alias("block"), F.length("line").cast("long").alias("n_chars"), (~F.col("line").rlike(f"[^{X.SPACE}]")).alias("blank"))
 
 
-_RUNS = r"regexp_extract_all(text, '\p{L}+|\p{N}+|[ \t\r\n\f]+|[^\p{L}\p{N} \t\r\n\f]')"
-_KIND = r"CASE WHEN regexp_matches(t, '^\p{L}') THEN 'latin' WHEN regexp_matches(t, '^\p{N}') THEN 'number' WHEN regexp_matches(t, '^[ \t\r\n\f]') THEN 'whitespace' WHEN regexp_matches(t, '^[\p{P}\p{Sm}\p{Sc}\p{Sk}]') THEN 'punctuation' ELSE 'other' END"
-
-
-@query(f"SELECT doc_id, kind, count(*) AS n_runs, sum(length(t))::BIGINT AS n_chars FROM (SELECT doc_id, t, {_KIND} AS kind FROM (SELECT doc_id, unnest({_RUNS}) AS t FROM documents)) GROUP BY ALL")
+@query(f"SELECT doc_id, kind, count(*) AS n_runs, sum(length(t))::BIGINT AS n_chars FROM {_ROWS} GROUP BY ALL")
 def script_runs(spark, d):
-    r = _docs(spark, d).select("doc_id", F.explode(X.runs(F.col("text"))).alias("t"))
+    r = _texts(spark, d).select("doc_id", F.explode(X.runs(F.col("text"))).alias("t"))
     return r.groupBy("doc_id", X.kind(F.col("t")).alias("kind")).agg(F.count("*").alias("n_runs"), F.sum(F.length("t")).alias("n_chars"))
 
 
 @query(
-    f"""SELECT doc_id, count(*) AS n_tokens, sum(s * i)::BIGINT AS offset_sum, max(s + length(t))::BIGINT AS end_offset,
-sum(CASE WHEN coalesce(regexp_matches(nx, '^[ \\t\\r\\n\\f]'), false) THEN 1 ELSE 0 END)::BIGINT AS n_trailing_space, bool_and(s = coalesce(pe, 0)) AS well_formed
-FROM (SELECT *, lag(s + length(t)) OVER w AS pe, lead(t) OVER w AS nx FROM (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) - length(t) AS s
-FROM (SELECT doc_id, r[i] AS t, i FROM (SELECT doc_id, r, unnest(range(1, len(r) + 1)) AS i FROM (SELECT doc_id, {_RUNS} AS r FROM documents)))) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id"""
+    f"""SELECT doc_id, count(*) AS n_tokens, sum(s * i)::BIGINT AS offset_sum, max(s + width)::BIGINT AS end_offset,
+sum(CASE WHEN coalesce(nx = 'whitespace', false) THEN 1 ELSE 0 END)::BIGINT AS n_trailing_space, bool_and(s = coalesce(pe, 0)) AS well_formed
+FROM (SELECT *, lag(s + width) OVER w AS pe, lead(kind) OVER w AS nx FROM (SELECT *, sum(width) OVER (PARTITION BY doc_id ORDER BY i) - width AS s
+FROM {_ROWS}) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id"""
 )
 def token_offsets(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("i")
-    t = _docs(spark, d).select("doc_id", F.posexplode(X.runs(F.col("text"))).alias("i", "t")).withColumn("width", X.utf16_width(F.col("t")))
-    t = t.withColumn("s", F.sum("width").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("width"))
-    t = t.withColumn("pe", F.lag(F.col("s") + F.col("width")).over(w)).withColumn("nx", X.kind(F.lead("t").over(w)))
-    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("s") * (F.col("i") + 1)).alias("offset_sum"), F.max(F.col("s") + F.col("width")).alias("end_offset"), F.sum(F.when(F.col("nx") == "whitespace", 1).otherwise(0)).alias("n_trailing_space"), F.bool_and(F.col("s") == F.coalesce("pe", F.lit(0))).alias("well_formed"))
+    """Figures of each text's tokens with their offsets; tokens never leave their row's task."""
+    t = token_rows(_texts(spark, d))
+    return t.groupBy("doc_id").agg(
+        F.count("*").alias("n_tokens"),
+        F.sum(F.col("start") * (F.col("idx") + 1)).alias("offset_sum"),
+        F.max("end").alias("end_offset"),
+        F.sum(F.col("trailing_space").cast("long")).alias("n_trailing_space"),
+        F.bool_and(F.col("end") - F.col("start") == X.utf16_width(F.col("text"))).alias("well_formed"),
+    )
+
+
+@query(f"SELECT doc_id, array_to_string({_RUNS}, '') = text AS same, length(text)::BIGINT AS n_chars FROM {_OWN_SQL}")
+def reassemble(spark, d):
+    return _texts(spark, d).select("doc_id", (F.array_join(X.runs(F.col("text")), "") == F.col("text")).alias("same"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query(f"SELECT doc_id, array_to_string({_RUNS}, '') = text AS same, length(text)::BIGINT AS n_chars FROM documents")
-def reassemble(spark, d):
-    return _docs(spark, d).select("doc_id", (F.array_join(X.runs(F.col("text")), "") == F.col("text")).alias("same"), F.length("text").cast("long").alias("n_chars"))
+@query(f"SELECT kind, count(DISTINCT t) AS n_words, count(*) AS n_tokens FROM {_ROWS} WHERE kind IN ('han', 'latin') GROUP BY kind")
+def lookup_candidates(spark, d):
+    """Tokens that a dictionary is asked for."""
+    t = _texts(spark, d).select(F.explode(X.runs(F.col("text"))).alias("t")).withColumn("kind", X.kind(F.col("t"))).where("kind IN ('han', 'latin')")
+    each = t.groupBy("kind", "t").count()
+    return each.groupBy("kind").agg(F.count("*").alias("n_words"), F.sum("count").alias("n_tokens"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, {_sql(rf'[{X.HAN}{X.LATIN}\p{{N}}]')}))::BIGINT AS n_scorable, len(regexp_extract_all(substring(text, 1, length(text) // 2), {_sql(rf'[{X.HAN}{X.LATIN}\p{{N}}]')}))::BIGINT AS in_first_half FROM {_OWN_SQL}")
+def scorable_counts(spark, d):
+    """Characters that count in a dictation, in the whole and in a range, by differences of one running count."""
+    n = lambda t: F.size(X.scorable(t)).cast("long")
+    half = F.floor(F.length("text") / 2).cast("int")
+    rest = F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)")
+    return _texts(spark, d).select("doc_id", n(F.col("text")).alias("n_scorable"), (n(F.col("text")) - n(rest)).alias("in_first_half"))
+
+
+@query(f"SELECT doc_id, sum(CASE WHEN wordlike AND before THEN 1 ELSE 0 END)::BIGINT AS n_gaps FROM (SELECT doc_id, kind IN ('han', 'latin', 'number') AS wordlike, coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY i) IN ('han', 'latin', 'number'), false) AS before FROM {_ROWS}) GROUP BY doc_id")
+def token_spacing(spark, d):
+    """Gaps stand between two word-like tokens only."""
+    kinds = F.transform(X.runs(F.col("text")), lambda t: X.kind(t).isin("han", "latin", "number").cast("int"))
+    t = _texts(spark, d).select("doc_id", kinds.alias("w")).where(F.size("w") > 0)
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", 2, 1 << 30), lambda a, b: a * F.coalesce(b, F.lit(0)))
+    return t.select("doc_id", F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("n_gaps"))
+
+
+@query(f"SELECT doc_id, count(*) FILTER (WHERE block BETWEEN least(2, n - 1) - 2 AND least(2, n - 1) + 4) AS n_shown, sum(length(t)) FILTER (WHERE block BETWEEN least(2, n - 1) - 2 AND least(2, n - 1) + 4)::BIGINT AS n_chars FROM (SELECT doc_id, l[i] AS t, i - 1 AS block, len(l) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {_sql(X.BLOCK)}) AS l FROM {_OWN_SQL}))) GROUP BY doc_id")
+def viewport_slice(spark, d):
+    """Blocks from two before the third one to four after it, where there are such."""
+    b = _texts(spark, d).select("doc_id", X.blocks(F.col("text")).alias("l")).where(F.size("l") > 0)
+    top = F.least(F.lit(2), F.size("l") - 1)
+    shown = F.filter("l", lambda x, i: (i >= top - 2) & (i <= top + 4))
+    return b.select("doc_id", F.size(shown).cast("long").alias("n_shown"), F.aggregate(shown, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
 @query("SELECT doc_id, substring(trim(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g')), 1, 120) AS preview FROM documents")
@@ -79,10 +133,10 @@ def plausibility(spark, d):
     return _docs(spark, d).select("doc_id", F.round(X.plausibility(F.col("text")), 9).alias("plausibility"))
 
 
-@query("""SELECT doc_id, count(*) AS n_sentences, max(length(s))::BIGINT AS longest FROM (SELECT doc_id, trim(regexp_replace(s, '[\\r\\n\\t]+', ' ', 'g')) AS s FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?;。！？…；]*[.!?;。！？…；]+["''”’）)」』\\]]*|[^.!?;。！？…；]+')) AS s FROM documents)) WHERE s <> '' GROUP BY doc_id""")
+@query(f"SELECT doc_id, count(*) AS n_sentences, max(length(s))::BIGINT AS longest FROM (SELECT doc_id, regexp_replace(s, {_sql(f'[{X.SPACE}]+$')}, '') AS s FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_sql(X.SENTENCE)})) AS s FROM {_OWN_SQL})) GROUP BY doc_id")
 def sentence_split(spark, d):
-    s = _docs(spark, d).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("s")).cast("long").alias("longest"))
+    s = X.sentences(F.col("text"))
+    return _texts(spark, d).select("doc_id", s.alias("s")).where(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
 
 
 @query("SELECT doc_id, CASE WHEN trim(l) = '' THEN 'Untitled' ELSE substring(trim(l), 1, 60) END AS title FROM (SELECT doc_id, string_split(text, chr(10))[1] AS l FROM documents)")
@@ -105,16 +159,9 @@ def previous_context(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.coalesce(F.last(F.when(F.length("text") >= 40, F.col("role")), True).over(w), F.lit("none")).alias("context"))
 
 
-@query("SELECT conv_id, turn, levenshtein(a, b)::BIGINT AS distance FROM (SELECT conv_id, turn, substring(text, 1, 100) AS a, substring(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 100) AS b FROM conversations) WHERE regexp_full_match(a, '[ -~\\n]*') AND regexp_full_match(b, '[ -~\\n]*')")
-def edit_distance(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    p = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.substring("text", 1, 100).alias("a"), F.substring(F.lead("text").over(w), 1, 100).alias("b"))
-    return p.where(F.col("a").rlike("^[ -~\\n]*\\z") & F.col("b").rlike("^[ -~\\n]*\\z")).select("conv_id", "turn", X.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
-
-
 @query()
-def edit_distance_whole(spark, d):
-    """The distance in code points of all neighbouring turns; edit_distance and its SQL compare ASCII prefixes."""
+def edit_distance(spark, d):
+    """The distance in code points of all neighbouring turns; SQL's counts bytes."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     p = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(w).alias("b"))
     return p.where("a IS NOT NULL AND b IS NOT NULL").select("conv_id", "turn", X.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
@@ -126,4 +173,4 @@ def alignment_marks(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     p = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).where("b IS NOT NULL")
     m = p.select("conv_id", "turn", alignment_counts("a", "b").alias("m")).select("conv_id", "turn", "m.*")
-    return m.withColumn("accuracy", F.round(F.try_divide(F.col("matched"), F.col("matched") + F.col("substituted") + F.col("missing") + F.col("extra")), 9))
+    return m.withColumn("accuracy", F.round(F.coalesce(F.try_divide(F.col("matched"), F.col("matched") + F.col("substituted") + F.col("missing") + F.col("extra")), F.lit(1.0)), 9))

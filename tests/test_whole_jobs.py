@@ -43,10 +43,10 @@ def distance(a, b):
 
 
 def test_edit_distance_covers_whole_turns_of_all_pairs(spark, tmp_path):
-    from glyphflow.plans.texts import edit_distance_whole
+    from glyphflow.plans.texts import edit_distance
 
     table(spark, tmp_path, "conversations", TURNS, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.turn): r.distance for r in edit_distance_whole(spark, str(tmp_path)).collect()}
+    got = {(r.conv_id, r.turn): r.distance for r in edit_distance(spark, str(tmp_path)).collect()}
     assert got == {x[:2]: distance(x[3], y[3]) for x, y in PAIRS}
 
 
@@ -65,22 +65,19 @@ def test_alignment_leaves_the_band_only_where_it_must():
     assert A.align(a, b, slack=1) == A._banded(a, b, 1)
 
 
-def test_lists_have_every_row_in_order(spark):
-    from glyphflow.plans.library import language_order, language_order_whole, library_list, library_list_whole
-    from glyphflow.plans.lexicon import reading_rank_whole
+def test_lists_have_every_row(spark):
+    from glyphflow.plans.lexicon import reading_rank
+    from glyphflow.plans.library import language_order, library_list
 
     data = "/root/testdata/sf0.001"
     ids = sorted(r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect())
-    for whole, capped, key in ((library_list_whole, library_list, lambda r: (-r.last, -r.doc_id)), (language_order_whole, language_order, lambda r: (r["rank"], r.doc_id))):
-        rows = sorted(whole(spark, data).collect(), key=key)
-        assert sorted(r.doc_id for r in rows) == ids
-        first = sorted(capped(spark, data).collect(), key=lambda r: r.place)
-        assert [r.doc_id for r in first] == [r.doc_id for r in rows[: len(first)]] and len(first) < len(rows)
+    for whole in (library_list, language_order):
+        assert sorted(r.doc_id for r in whole(spark, data).collect()) == ids
     n = Counter((w, r.p_brand) for r in spark.read.parquet(f"{data}/part.parquet").collect() for w in r.p_name.split(" "))
     want = {}
     for (w, b), k in sorted(n.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
         want.setdefault(w, []).append((b, k))
     got = {}
-    for r in sorted(reading_rank_whole(spark, data).collect(), key=lambda r: (r.word, r["rank"])):
+    for r in sorted(reading_rank(spark, data).collect(), key=lambda r: (r.word, r["rank"])):
         got.setdefault(r.word, []).append((r.p_brand, r.n))
     assert got == want and max(map(len, want.values())) > 5
