@@ -61,3 +61,17 @@ def segment(texts: DataFrame, column: str, lexicon: DataFrame, most_words: int =
         return s.map(lambda x: split_words(x or "", shared.value))
 
     return texts.withColumn("words", split(column))
+
+
+def merged(rows: DataFrame, column: str, lexicon: DataFrame, most_words: int = 3_000_000) -> DataFrame:
+    """Adds merged: the tokens with runs joined that the lexicon (word, weight) has as one word."""
+    n = lexicon.count()
+    if n > most_words:
+        raise ValueError(f"the lexicon has {n} words; the bound is {most_words}")
+    shared = rows.sparkSession.sparkContext.broadcast(dict(lexicon.select("word", "weight").toPandas().itertuples(index=False, name=None)))
+
+    @F.pandas_udf("array<string>")
+    def join(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: merge_tokens(list(x) if x is not None else [], shared.value))
+
+    return rows.withColumn("merged", join(column))

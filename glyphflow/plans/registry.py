@@ -1,9 +1,9 @@
 """All queries by name, and the SQL each is compared with."""
 
-from glyphflow.plans import changes, lexicon, library, texts
+from glyphflow.plans import changes, lexicon, library, listening, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (texts, library, lexicon, changes):
+for _part in (texts, library, lexicon, changes, listening):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
