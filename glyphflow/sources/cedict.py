@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Glosses with these beginnings point elsewhere, fixed values.
-REFERENCE = "^(variant of|old variant of|see |see also|abbr\\. for|also written|same as|equivalent to|erhua variant of) ?"
+#: Glosses with these beginnings point elsewhere, whatever their case, fixed values.
+REFERENCE = ("variant of ", "old variant of ", "see ", "see also ", "abbr. for ", "abbr. of ", "used in ", "same as ", "equivalent to ")
 
 
 def sense_kind(gloss: Column) -> Column:
-    return F.when(gloss.startswith("surname "), "label").when(gloss.rlike(REFERENCE), "reference").otherwise("definition")
+    low = F.lower(gloss)
+    points = F.lit(False)
+    for x in REFERENCE:
+        points = points | low.startswith(x)
+    return F.when(low.startswith("surname "), "label").when(points, "reference").otherwise("definition")
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -23,7 +27,7 @@ def parse(lines: DataFrame) -> DataFrame:
     kind = F.when(x.startswith("#!"), "metadata").when(x.startswith("#"), "comment").when(error.isNotNull(), "error").otherwise("entry")
     is_entry = kind == "entry"
     return lines.where(x != "").select(
-        "line_no", kind.alias("kind"), F.when(kind == "error", error).alias("error"),
+        *[c for c in lines.columns if c != "line"], kind.alias("kind"), F.when(kind == "error", error).alias("error"),
         F.when(is_entry, F.try_element_at(parts, F.lit(2))).alias("simplified"),
         F.when(is_entry, F.nullif(F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2)))).alias("traditional"),
         F.when(is_entry, F.regexp_extract(x, r"\[([^\]]*)\]", 1)).alias("reading"),
@@ -33,7 +37,13 @@ def parse(lines: DataFrame) -> DataFrame:
     )
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """file, line_no, line from rows (file, value) with whole files; numbers start at 1 in each file."""
+    lines = files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "line"))
+    return lines.select("file", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+
+
 def read(spark, path: str) -> DataFrame:
-    """Entries of files at path; the line number is within its file's order of bytes."""
-    raw = spark.read.text(path).select(F.col("value").alias("line"), (F.monotonically_increasing_id() + 1).alias("line_no"))
-    return parse(raw)
+    """Rows of the files at path with their line numbers; malformed lines are rows of kind error."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return parse(numbered(whole))
