@@ -2,8 +2,8 @@
 
 Every step is written as Parquet in the shared folder that the cluster names in
 ``spark.checkpoint.dir``. A lost executor then costs the tasks of the step that runs,
-never the lineage of earlier ones. Only where that setting is absent (tests on one
-machine) a temporary folder is taken.
+never the lineage of earlier ones. Only where that setting is absent and the session runs
+in one process (tests) a temporary folder is taken; on a cluster it must be set.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="glyphflow-"))
         atexit.register(shutil.rmtree, _own[0], True)
