@@ -218,6 +218,57 @@ def test_class_model(docs, empty):
     assert score_texts(empty).count() == 0
 
 
+def test_class_scores_by_direct_computation(spark):
+    """Two kinds of words that take turns: the classes find them, also for words known by their own contexts only."""
+    from glyphflow.llm import brown_lm as B
+
+    r = random.Random(7)
+    one, two = ([f"{x}{k:03d}{r.choice('abc')}{r.choice('xyz')}" for k in range(40)] for x in ("m", "n"))
+    rows = [(k, " ".join(w for _ in range(30) for w in (r.choice(one), r.choice(two))) + (f" once{k}" if k % 3 else "")) for k in range(120)] + [(None, "m n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    d = docs.select("doc_id", "text")
+    counts = d.mapInArrow(B._count, "word binary, c long").groupBy("word").agg({"c": "sum"}).withColumnRenamed("sum(c)", "c").cache()
+    few = B.fit(d, counts, 6)
+    cls = lambda w: int(few["known_class"][few["index"][w]])
+    m = B.fit(d, counts)
+    train = Counter(w for i, t in rows if not B.held_out(i) for w in [*t.encode().split(), B.END])
+    assert {w: m["counts"][k] for w, k in m["index"].items()} == train and m["total"] == sum(train.values())
+    assert few["own"].sum() == 80 - 6 and min(train[w.encode()] for w in one + two) >= B.OWN
+    # words that share a class with more words of the other kind: by their endings, and after the exchange by their contexts
+    mixed = []
+    for of in (lambda w: int(few["of"][few["kinds"][w]]), cls):
+        first, second = (Counter(of(w.encode()) for w in x) for x in (one, two))
+        mixed.append(sum(min(n, second[k]) for k, n in first.items()))
+    assert mixed[1] < mixed[0]
+    cls = lambda w: int(m["known_class"][m["index"][w]]) if w in m["index"] else int(m["of"][m["kinds"][w]])
+    steps = Counter((cls(a), cls(b)) for i, t in rows if not B.held_out(i) for w in [[B.END, *t.encode().split(), B.END]] for a, b in zip(w, w[1:]))
+    before, tokens, kinds = Counter(), Counter(), Counter()
+    for (a, _), n in steps.items():
+        before[a] += n
+    for w, n in train.items():
+        tokens[cls(w)] += n
+        kinds[cls(w)] += 1
+    for g in B.score_texts(docs).collect():
+        want, last = 0.0, B.END
+        for w in [*dict(rows)[g.doc_id].encode().split(), B.END]:
+            a, b = cls(last), cls(w)
+            want += math.log10((steps[a, b] + 0.5) / (before[a] + 0.5 * B.CLASSES)) + math.log10((train[w] + 0.5) / (tokens[b] + 0.5 * (kinds[b] + 1)))
+            last = w
+        assert math.isclose(g.score, want, rel_tol=1e-9)
+        assert g.score > g.base_score or g.doc_id is None
+
+
+def test_the_most_frequent_words_by_a_histogram(spark):
+    from glyphflow.llm.brown_lm import most_frequent
+
+    r = random.Random(1)
+    rows = [(f"w{k:04d}".encode(), r.choice((1, 2, 2, 3, 70_000, 70_001 + k))) for k in range(500)]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    for most in (0, 1, 50, 120, 300, 499, 500, 900):
+        words, c = most_frequent(counts, most)
+        assert list(zip(words, c.tolist())) == sorted(rows, key=lambda x: (-x[1], x[0]))[:most]
+
+
 def test_mixing_meets_targets(spark, docs, empty):
     from glyphflow.llm.mixing import apply_mix, mix
 
