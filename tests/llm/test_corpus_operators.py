@@ -223,7 +223,7 @@ def test_class_scores_by_direct_computation(spark):
     from glyphflow.llm import brown_lm as B
 
     r = random.Random(7)
-    one, two = ([f"{x}{k:03d}{r.choice('abc')}{r.choice('xyz')}" for k in range(40)] for x in ("m", "n"))
+    one, two = ([f"{x}{k:03d}end" for k in range(40)] for x in ("m", "n"))
     rows = [(k, " ".join(w for _ in range(30) for w in (r.choice(one), r.choice(two))) + (f" once{k}" if k % 3 else "")) for k in range(120)] + [(None, "m n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     d = docs.select("doc_id", "text")
@@ -239,7 +239,7 @@ def test_class_scores_by_direct_computation(spark):
     for of in (lambda w: int(few["of"][few["kinds"][w]]), cls):
         first, second = (Counter(of(w.encode()) for w in x) for x in (one, two))
         mixed.append(sum(min(n, second[k]) for k, n in first.items()))
-    assert mixed[1] < mixed[0]
+    assert mixed[0] > 30 and mixed[1] <= 8, mixed
     cls = lambda w: int(m["known_class"][m["index"][w]]) if w in m["index"] else int(m["of"][m["kinds"][w]])
     steps = Counter((cls(a), cls(b)) for i, t in rows if not B.held_out(i) for w in [[B.END, *t.encode().split(), B.END]] for a, b in zip(w, w[1:]))
     before, tokens, kinds = Counter(), Counter(), Counter()
