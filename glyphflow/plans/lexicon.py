@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions import pinyin as P
 from glyphflow.operators.segment import segment
+from glyphflow.plans.staging import Workspace
 from glyphflow.sources import cards, cedict, encodings
 
 QUERIES, SQL = {}, {}
@@ -80,7 +81,7 @@ def _values(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-_SYLLABLES = [("hao3", "hǎo"), ("lüe4", "lüè"), ("nu:3", "nǚ"), ("xiong2", "xióng"), ("gui4", "guì"), ("liu2", "liú"), ("ma5", "ma"), ("shuo1", "shuō"), ("dou1", "dōu"), ("m2", "ḿ"), ("bei4", "bèi"), ("jiu3", "jiǔ"), ("ai4", "ài")]
+_SYLLABLES = [("hao3", "hǎo"), ("lüe4", "lüè"), ("nu:3", "nǚ"), ("xiong2", "xióng"), ("gui4", "guì"), ("liu2", "liú"), ("ma5", "ma"), ("shuo1", "shuō"), ("dou1", "dōu"), ("m2", "ḿ"), ("bei4", "bèi"), ("jiu3", "jiǔ"), ("ai4", "ài")]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SYLLABLES) + ") t(syllable, marked)")
@@ -131,9 +132,15 @@ def encoding_detect(spark, d):
 
 @query("WITH RECURSIVE e(a, b) AS (VALUES (1, 2), (2, 3), (3, 1), (3, 4), (5, 6)), r AS (SELECT 1 AS n UNION SELECT b FROM r JOIN e ON a = n) SELECT n FROM r")
 def include_closure(spark, d):
-    """Files reachable through includes, cycles allowed, by one recursive query."""
-    _values(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)], "a int, b int").createOrReplaceTempView("include_edges")
-    return spark.sql("WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT b FROM r JOIN include_edges ON a = n) SELECT DISTINCT n FROM r")
+    """Files reachable through includes, cycles allowed: each round follows the newly found ones only."""
+    ws = Workspace(spark, "includes")
+    edges = _values(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)], "a int, b int")
+    found = new = ws.keep(_values(spark, [(1,)], "n int"))
+    while True:
+        new = ws.keep(new.join(edges, F.col("n") == F.col("a")).select(F.col("b").alias("n")).distinct().join(found, "n", "left_anti"))
+        if new.count() == 0:
+            return found
+        found = found.union(new)
 
 
 @query("SELECT * FROM (VALUES ('很', '长', 'chang2'), (NULL, '长', 'zhang3'), ('不', '了', 'le5')) t(context, character, reading)")
