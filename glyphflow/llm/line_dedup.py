@@ -207,15 +207,15 @@ def _crowded(ws: Workspace, own: DataFrame) -> DataFrame:
 
 
 def _large_groups(ws: Workspace, members: DataFrame, text: DataFrame, edges: DataFrame) -> DataFrame:
-    """edges, and such further links that pairs under one key lie in one component or are not linked.
+    """Components of edges and of such further links that pairs under one key lie in one component or are not linked.
 
     members: key, id, less (by which lines indexed under the key are shorter), own (is it
     indexed), rest (its line without what the key stands for).
     """
-    comp = components(ws, edges)
+    comp = edges.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)  # at first each line stands for itself
     for level in range(LEVELS + 1):
         members = _divided(ws, members, comp)
-        if members.count() == 0:
+        if level and members.count() == 0:
             break
         draw = F.min(F.when(F.col("own"), F.struct(F.xxhash64(F.lit(level), "key", "id"), F.col("id").alias("lead"), F.col("component").alias("lead_component")))).alias("draw")
         lead = members.groupBy("key").agg(draw).select(F.col("key").alias("of"), "draw.lead", "draw.lead_component")
@@ -234,7 +234,7 @@ def _large_groups(ws: Workspace, members: DataFrame, text: DataFrame, edges: Dat
         edges = ws.keep(edges.union(new))
         comp = components(ws, edges)
         members = more.join(hot, F.col("key") == F.col("of"), "left_semi").drop("component").distinct()
-    return edges
+    return comp
 
 
 def _in_blocks(members: DataFrame, text: DataFrame) -> DataFrame:
@@ -250,8 +250,8 @@ def _in_blocks(members: DataFrame, text: DataFrame) -> DataFrame:
     return met.select("id", F.explode(first).alias("id2")).select(*_pair("id", "id2")).distinct()
 
 
-def line_links(ws: Workspace, docs_lines) -> DataFrame:
-    """Links (a, b) between ids of different lines within EDITS, enough to connect every pair that is."""
+def line_components(ws: Workspace, docs_lines) -> DataFrame:
+    """(id, component) of the lines that have a different line within EDITS; every such pair is in one component."""
     # keys are made before equal lines are put together: they move with less than the line, and equal lines give equal rows
     lines = docs_lines().select("line", F.length("line").alias("n")).where(F.col("n") >= MIN_CHARS)
     # staged before they are exploded, or all keys would go along with each posting
@@ -270,8 +270,8 @@ def line_links(ws: Workspace, docs_lines) -> DataFrame:
     text = docs_lines().where(F.length("line") >= MIN_CHARS).withColumn("id", F.xxhash64("line")).join(broadcast_if_small(ids, 8), "id", "left_semi").select("id", "line").distinct()
     text = ws.keep(text.withColumn("letters", letter_counts(F.col("line"))))
     edges = _verified(ws, pairs, text)
-    if member.limit(1).count() == 0:
-        return edges
+    if member.count() == 0:
+        return components(ws, edges)
     at = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in LAYOUT]), F.col("pos") + 1)
     cut = member.select("key", "id", at(0).alias("less"), (F.col("pos") <= EDITS).alias("own"), at(1).alias("number"), at(2).alias("shift")).join(text.select(F.col("id").alias("tid"), "line"), F.col("id") == F.col("tid"))
     rest = _without(F.col("line"), F.length("line"), F.col("less"), F.col("number"), F.col("shift"))
@@ -292,9 +292,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
     blank = ~F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    links = line_links(ws, docs_lines)
+    found = line_components(ws, docs_lines)
     lines = ws.keep(docs_lines().select("doc_id", "pos", F.xxhash64("line").alias("id"), F.length("line").alias("n"), blank.alias("blank")))
-    comp = broadcast_if_small(ws.keep(components(ws, links).withColumnRenamed("id", "cid")), 16)
+    comp = broadcast_if_small(ws.keep(found.withColumnRenamed("id", "cid")), 16)
     named = ws.keep(lines.join(comp, F.col("id") == F.col("cid"), "left").select("doc_id", "pos", "id", "n", "blank", F.coalesce("component", "id").alias("class"), F.col("cid").isNotNull().alias("linked")))
     many = ws.keep(named.where("NOT blank").groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1").select(F.col("class").alias("of"), "first_doc"))
     again = named.where("NOT blank").join(many, F.col("class") == F.col("of"))
