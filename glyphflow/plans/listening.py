@@ -214,7 +214,8 @@ def rate_limits(spark, d):
     return _docs(spark, d).where("n_chars > 0").select("doc_id", longest.alias("longest"), F.least(F.round(rate).cast("long"), longest).alias("shortest"))
 
 
-_CUT = rf"(?s)[^{X.SEPARATORS}{X.TERMINATORS}]*[{X.SEPARATORS}{X.TERMINATORS}][{X.CLOSERS}]*"
+#: The second part takes a rest without any mark in one step; else each of its places would be tried.
+_CUT = rf"(?s)[^{X.SEPARATORS}{X.TERMINATORS}]*[{X.SEPARATORS}{X.TERMINATORS}][{X.CLOSERS}]*|[^{X.SEPARATORS}{X.TERMINATORS}]+"
 
 
 @query(f"SELECT doc_id, count(*) FILTER (WHERE p < n) AS n_cuts, coalesce(sum(p) FILTER (WHERE p < n), 0)::BIGINT AS cut_sum FROM (SELECT doc_id, n, sum(length(l[i])) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM (SELECT doc_id, n, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, length(text) AS n, regexp_extract_all(text, {_sql(_CUT)}) AS l FROM {_OWN_SQL}))) GROUP BY doc_id")
