@@ -75,3 +75,21 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, most_bytes: int = 8 << 20)
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
+
+
+def one_partition(df: DataFrame, text: str = "", most: int = 1 << 16, most_bytes: int = 16 << 20) -> DataFrame:
+    """A staged table as one partition, if its counted rows and the bytes of its text column prove it small.
+
+    Joins and groups among such tables need no shuffle, so that many small steps do not
+    cost a task for each shuffle partition. Beyond the bounds the table is returned as it is.
+    """
+    from pyspark.sql import functions as F
+
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)
+    rows, total = df.agg(F.count("*"), size).first()
+    if rows > most or total > most_bytes:
+        return df
+    out = df.coalesce(1)
+    out.staged_at = df.staged_at
+    out.is_one = True
+    return out
