@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.plans.staging import Workspace
+from glyphflow.plans.staging import Workspace, one_partition
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
@@ -15,15 +15,16 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     smallest label among a vertex and its neighbours (a partial aggregate, so a hub does
     not meet in one task), then follows labels one step (pointer jumping), which needs
     about log2 of the longest path rounds. Joins are plain equi-joins of staged tables,
-    so that adaptive execution splits a hub's partition. An empty table gives no rows.
+    so that adaptive execution splits a hub's partition; where the edges are counted as few,
+    they are one partition and nothing is shuffled. An empty table gives no rows.
     """
-    both = ws.keep(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u <> v").distinct())
-    label = ws.keep(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    both = one_partition(ws.keep(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u <> v").distinct()))
+    label = one_partition(ws.keep(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component"))))
     while True:
         near = both.join(label, F.col("v") == F.col("id")).groupBy("u").agg(F.min("component").alias("best"))
-        step = ws.keep(label.join(near, F.col("id") == F.col("u")).select("id", F.col("component").alias("old"), F.least("component", "best").alias("component")))
+        step = one_partition(ws.keep(label.join(near, F.col("id") == F.col("u")).select("id", F.col("component").alias("old"), F.least("component", "best").alias("component"))))
         jump = step.select(F.col("id").alias("to"), F.col("component").alias("further"))
-        new = ws.keep(step.join(jump, F.col("component") == F.col("to"), "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        new = one_partition(ws.keep(step.join(jump, F.col("component") == F.col("to"), "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component"))))
         ws.drop(step, label)
         done = new.where("old <> component").limit(1).count() == 0
         label = new

@@ -18,6 +18,7 @@ alike. What is still large after LEVELS such cuts, or too short for another, is
 blocks of BLOCK lines, and a line gives one link for each component that it reaches in a
 block. So all pairs that meet are verified or lie in one component.
 
+Steps over tables that are counted as small run in one partition, without a shuffle.
 Distinct lines move once, as their keys, and postings once; texts of pairs are fetched
 for lines in a pair or in a large segment only. Lines carry a 64-bit hash as id. Of a
 component of equal or linked lines the first, by doc_id and line number, stays in its
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.llm.graph import components
-from glyphflow.plans.staging import Workspace, broadcast_if_small
+from glyphflow.plans.staging import Workspace, broadcast_if_small, one_partition
 
 EDITS, MIN_CHARS = 2, 24
 #: Lines under one segment that are joined with its probes; cuts for more, lines in a block, shortest text to cut.
@@ -184,7 +185,10 @@ def _verified(ws: Workspace, pairs: DataFrame, text: DataFrame) -> DataFrame:
     side = lambda x, *names: text.select(F.col("id").alias(f"i{x}"), *(F.col(n).alias(f"{n}_{x}") for n in names))
     some = pairs.join(side("a", "letters"), F.col("a") == F.col("ia")).join(side("b", "letters"), F.col("b") == F.col("ib")).where(_may_link(F.col("letters_a"), F.col("letters_b")))
     both = some.select("a", "b").join(side("a", "line"), F.col("a") == F.col("ia")).join(side("b", "line"), F.col("b") == F.col("ib"))
-    cut = both.select("a", "b", F.col("line_a").alias("la"), F.col("line_b").alias("lb"), common_start(F.col("line_a"), F.col("line_b")).alias("k"))
+    both = both.select("a", "b", F.col("line_a").alias("la"), F.col("line_b").alias("lb"))
+    if hasattr(text, "is_one"):  # joined in one task, compared in many
+        both = both.repartition(4 * ws.spark.sparkContext.defaultParallelism, "a", "b")
+    cut = both.select("a", "b", "la", "lb", common_start(F.col("la"), F.col("lb")).alias("k"))
     rest = ws.keep(cut.select("a", "b", F.expr("substring(la, k + 1)").alias("ra"), F.expr("substring(lb, k + 1)").alias("rb")))
     return ws.keep(rest.where(within_edits(F.col("ra"), F.col("rb"))).select("a", "b"))
 
@@ -193,12 +197,17 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _small_or_not(ws: Workspace, df: DataFrame) -> DataFrame:
+    """Staged, as one partition if it is small with its texts."""
+    return one_partition(ws.keep(df), "rest")
+
+
 def _divided(ws: Workspace, members: DataFrame, comp: DataFrame) -> DataFrame:
     """The members under keys that have lines of several components, with their component."""
     its = broadcast_if_small(comp, 16).withColumnRenamed("id", "cid")
     labelled = members.join(its, F.col("id") == F.col("cid"), "left").withColumn("component", F.coalesce("component", "id")).drop("cid")
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("key").alias("of"))
-    return ws.keep(labelled.join(several, F.col("key") == F.col("of"), "left_semi"))
+    return _small_or_not(ws, labelled.join(several, F.col("key") == F.col("of"), "left_semi"))
 
 
 def _crowded(ws: Workspace, own: DataFrame) -> DataFrame:
@@ -223,15 +232,15 @@ def _large_groups(ws: Workspace, members: DataFrame, text: DataFrame, edges: Dat
         fits = (F.length("rest") - F.col("less") >= SHORTEST) & F.lit(level < LEVELS)
         late = members.where(~fits)
         more = members.where(fits).select("key", "id", "less", "own", "rest", "component", F.explode(_again(F.col("key"), F.col("rest"), F.col("less"))).alias("x"))
-        more = ws.keep(more.select(F.col("x.key").alias("key"), "id", "less", (F.col("own") & (F.col("x.shift") == 0)).alias("own"), _without(F.col("rest"), F.length("rest"), F.col("less"), F.col("x.number"), F.col("x.shift")).alias("rest"), "component"))
+        more = _small_or_not(ws, more.select(F.col("x.key").alias("key"), "id", "less", (F.col("own") & (F.col("x.shift") == 0)).alias("own"), _without(F.col("rest"), F.length("rest"), F.col("less"), F.col("x.number"), F.col("x.shift")).alias("rest"), "component"))
         hot = broadcast_if_small(_crowded(ws, more.where("own")), 8)
         few = more.join(hot, F.col("key") == F.col("of"), "left_anti")
         own = few.where("own").select(F.col("key").alias("of"), F.col("id").alias("id2"), F.col("component").alias("component2"))
         met = few.join(own, (F.col("key") == F.col("of")) & (F.col("component") != F.col("component2"))).select(*_pair("id", "id2"))
-        new = _verified(ws, ws.keep(pairs.union(met).distinct()), text)
+        new = _verified(ws, one_partition(ws.keep(pairs.union(met))).distinct(), text)
         if late.limit(1).count():
             new = new.union(_in_blocks(late, text))
-        edges = ws.keep(edges.union(new))
+        edges = one_partition(ws.keep(edges.union(new)))
         comp = components(ws, edges)
         members = more.join(hot, F.col("key") == F.col("of"), "left_semi").drop("component").distinct()
     return comp
@@ -264,18 +273,18 @@ def line_components(ws: Workspace, docs_lines) -> DataFrame:
     # lines of one length would meet from both sides; one is enough
     once = F.when(F.col("pos") < sum(less == 0 for less, _, _ in LAYOUT), F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2"))
     pairs = ws.keep(few.join(own, (F.col("key") == F.col("key2")) & once).select(*_pair("id", "id2")).distinct())
-    member = ws.keep(every.join(crowd, F.col("key") == F.col("of"), "left_semi"))
+    member = one_partition(ws.keep(every.join(crowd, F.col("key") == F.col("of"), "left_semi")))
     ws.drop(keyed)
     ids = ws.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(member.select("id")).distinct())
     text = docs_lines().where(F.length("line") >= MIN_CHARS).withColumn("id", F.xxhash64("line")).join(broadcast_if_small(ids, 8), "id", "left_semi").select("id", "line").distinct()
-    text = ws.keep(text.withColumn("letters", letter_counts(F.col("line"))))
-    edges = _verified(ws, pairs, text)
+    text = one_partition(ws.keep(text.withColumn("letters", letter_counts(F.col("line")))), "line")
+    edges = one_partition(_verified(ws, one_partition(pairs), text))
     if member.count() == 0:
         return components(ws, edges)
     at = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in LAYOUT]), F.col("pos") + 1)
     cut = member.select("key", "id", at(0).alias("less"), (F.col("pos") <= EDITS).alias("own"), at(1).alias("number"), at(2).alias("shift")).join(text.select(F.col("id").alias("tid"), "line"), F.col("id") == F.col("tid"))
     rest = _without(F.col("line"), F.length("line"), F.col("less"), F.col("number"), F.col("shift"))
-    return _large_groups(ws, ws.keep(cut.select("key", "id", "less", "own", rest.alias("rest"))), text, edges)
+    return _large_groups(ws, _small_or_not(ws, cut.select("key", "id", "less", "own", rest.alias("rest"))), text, edges)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
