@@ -3,8 +3,7 @@
 Words of the training documents are counted over the whole corpus. Exchange clustering puts
 words into classes in two stages. First the FREQUENT most frequent words, and types that
 join rarer words by their ending, are exchanged one by one over their bigram counts. Then
-every further word that is among the KNOWN and was seen OWN times or more is exchanged by
-its own contexts: a pass over the corpus counts the classes before and after it, the counts
+every further word that was seen OWN times or more is exchanged by its own contexts: a pass over the corpus counts the classes before and after it, the counts
 are summed in Spark, and each word takes the class with the largest gain in likelihood, all
 words against the same class bigrams, in parallel. Only rarer words keep the class of their
 ending. Class bigrams and sizes are then counted anew.
@@ -15,9 +14,12 @@ additive counts, and a text's score is the sum of log10 over its tokens.
 What grows with the corpus stays distributed: the table of word counts, and contexts of
 words, are built and used by shuffles. Bounded by parameters, and so shared with all
 workers: the KNOWN most frequent words with their counts and classes (found by a histogram
-of counts), and the types' bigram matrix. Words beyond KNOWN leave the scoring pass as
-(document, word, count) rows and meet their counts in a join; such words are rare by their
-rank, so that join has no hot key.
+of counts), and the types' bigram matrix. Words beyond KNOWN have the same classes as if
+they were shared, by joins: the passes take them by their endings and send out each one with
+the classes of its neighbours (or the neighbour, if it is such a word too); where a word's own
+class differs from its ending's, the rows are corrected. In scoring they leave as (document,
+word, count) rows and meet their counts; such words are rare by their rank, so that no join
+has a hot key. If no word beyond KNOWN was seen OWN times, none of this is run.
 
 Training documents are those with crc32 of the id as text mod 5 other than 1.
 
@@ -87,9 +89,11 @@ class TypeOf(dict):
     def size(self) -> int:
         return self.room + ENDINGS + 1
 
-    def __missing__(self, word: bytes) -> int:
+    def ending(self, word: bytes) -> int:
         return self.room + zlib.crc32(word[-3:]) % ENDINGS
 
+    __missing__ = ending
+
     def __reduce__(self):
         return TypeOf, (sorted((w for w in self if w != END), key=self.get), self.room)
 
@@ -149,52 +153,111 @@ def word_classes(m: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _contexts(m: dict):
     """Counts of the classes before (cell >= CLASSES) and after each word that is exchanged by its own contexts."""
     held: list[np.ndarray] = []
+    far: Counter = Counter()
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array((key // (2 * CLASSES)).astype(np.int32)), pa.array((key % (2 * CLASSES)).astype(np.int32)), pa.array(n)], ["word", "cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((key // (2 * CLASSES)).astype(np.int32)), pa.nulls(len(key), pa.binary()), pa.array((key % (2 * CLASSES)).astype(np.int32)), pa.array(n)], ["word", "far", "cell", "n"])
+        if far:
+            words, cells = zip(*far)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(far), pa.int32()), pa.array(words, pa.binary()), pa.array(cells, pa.int32()), pa.array(list(far.values()), pa.int64())], ["word", "far", "cell", "n"])
+            far.clear()
 
     def take(flat: list[bytes]) -> Iterator[pa.RecordBatch]:
         at, cls = word_classes(m, flat)
+        if m["beyond"]:
+            for k in np.flatnonzero(at < 0).tolist():
+                far[flat[k], int(cls[k + 1])] += 1
+                far[flat[k], CLASSES + int(cls[k - 1])] += 1
         own = np.flatnonzero((at >= 0) & m["own"][at])
         held.append(at[own] * (2 * CLASSES) + cls[own + 1])
         held.append(at[own] * (2 * CLASSES) + CLASSES + cls[own - 1])
-        if sum(map(len, held)) > 4_000_000:
+        if sum(map(len, held)) > 4_000_000 or len(far) > FLUSH:
             yield from flush()
 
     return take, flush
 
 
+def far_steps(words: list[bytes], at: np.ndarray, cls: np.ndarray) -> Iterator[tuple[bytes, bytes | None, int]]:
+    """The bigrams with words beyond the known: (word, None, cell of a known neighbour), or (word, the next word, class bigram).
+
+    The first and the last word are ends, so known.
+    """
+    for k in np.flatnonzero(at < 0).tolist():
+        if at[k - 1] >= 0:
+            yield words[k], None, CLASSES + int(cls[k - 1])
+        if at[k + 1] >= 0:
+            yield words[k], None, int(cls[k + 1])
+        else:
+            yield words[k], words[k + 1], int(cls[k]) * CLASSES + int(cls[k + 1])
+
+
 def _steps(m: dict):
-    """Counts of class bigrams."""
+    """Counts of class bigrams, words beyond the known by their endings; their bigrams also one by one (far_steps)."""
     total = np.zeros(CLASSES * CLASSES, np.int64)
+    far: Counter = Counter()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if far:
+            words, nexts, k = zip(*far)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(nexts, pa.binary()), pa.array(k, pa.int64()), pa.array(list(far.values()), pa.int64())], ["word", "next", "k", "n"])
+            far.clear()
 
     def take(flat: list[bytes]) -> Iterator[pa.RecordBatch]:
-        _, cls = word_classes(m, flat)
+        at, cls = word_classes(m, flat)
         total[:] += np.bincount(cls[:-1] * CLASSES + cls[1:], minlength=CLASSES * CLASSES)
-        return iter(())
+        if m["beyond"]:
+            far.update(far_steps(flat, at, cls))
+            if len(far) > FLUSH:
+                yield from flush()
 
     def end() -> Iterator[pa.RecordBatch]:
+        yield from flush()
         k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.binary()), pa.array(k), pa.array(total[k])], ["word", "next", "k", "n"])
 
     return take, end
 
 
-def _sizes(model):
-    """Tokens and words of each class, from batches of (word, count)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            _, cls = word_classes(model.value, batch.column(0).to_pylist())
-            n += np.bincount(cls, batch.column(1).to_numpy(), CLASSES).astype(np.int64)
-            v += np.bincount(cls, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], ["k", "n", "v"])
-
-    return run
+def _corrected(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """(k, n) to add to class bigrams for the words that moved from their endings' classes."""
+    one = rows.where("word IS NOT NULL AND next IS NULL").groupBy("word", "k").agg(F.sum("n").alias("n")).join(moved, F.col("word") == F.col("far"))
+    cell = lambda c: F.when(F.col("k") < CLASSES, F.col(c) * CLASSES + F.col("k")).otherwise((F.col("k") - CLASSES) * CLASSES + F.col(c))
+    two = _both_moved(rows.where("next IS NOT NULL").groupBy("word", "next", "k").agg(F.sum("n").alias("n")), moved)
+    change = lambda old, new: F.explode(F.array(F.struct(old.cast("long").alias("k"), (-F.col("n")).alias("n")), F.struct(new.cast("long").alias("k"), F.col("n").alias("n")))).alias("x")
+    return one.select(change(cell("old"), cell("class"))).union(two.select(change(F.col("k"), F.col("to")))).select("x.k", "x.n")
+
+
+def _both_moved(pairs: DataFrame, moved: DataFrame) -> DataFrame:
+    """Pairs (word, next, k) of which one has moved, with their new class bigram ``to``."""
+    a, b = moved.select(F.col("far").alias("far_a"), F.col("class").alias("class_a")), moved.select(F.col("far").alias("far_b"), F.col("class").alias("class_b"))
+    both = pairs.join(a, F.col("word") == F.col("far_a"), "left").join(b, F.col("next") == F.col("far_b"), "left").where("class_a IS NOT NULL OR class_b IS NOT NULL")
+    return both.withColumn("to", F.coalesce("class_a", F.floor(F.col("k") / CLASSES)) * CLASSES + F.coalesce("class_b", F.col("k") % CLASSES))
+
+
+def _sizes(counts: DataFrame, m: dict, c: np.ndarray, moved: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and words of each class: all words by their endings, then those that have another class."""
+    ending = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(ENDINGS)).cast("int").alias("k")
+    every = counts.groupBy(ending).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()
+    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+    by = m["of"][m["kinds"].room + every.column("k").to_numpy()]
+    np.add.at(n, by, every.column("n").to_numpy())
+    np.add.at(v, by, every.column("v").to_numpy())
+    seen = [(k, w) for k, w in enumerate(m["index"]) if c[k] > 0]
+    at = np.array([k for k, _ in seen], np.int64)
+    was = m["of"][np.array([m["kinds"].ending(w) for _, w in seen], np.int64)]
+    now = m["known_class"][at]
+    for total, x in ((n, c[at].astype(float)), (v, np.ones(len(at)))):
+        np.subtract.at(total, was, x)
+        np.add.at(total, now, x)
+    if moved is not None:
+        for r in moved.groupBy("old", "class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most CLASSES squared
+            for total, x in ((n, r.n), (v, r.v)):
+                total[r.old] -= x
+                total[r["class"]] += x
+    return n, v
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -225,15 +288,16 @@ def best_class(big: np.ndarray, now: int, right: np.ndarray, left: np.ndarray) -
 
 def _exchanged(model, big: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = model.value["known_class"]
+        m = model.value
         for batch in batches:
-            words, out = batch.column(0).to_pylist(), []
-            for w, cells in zip(words, batch.column(1).to_pylist()):
+            old, out = [], []
+            for w, far, cells in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))):
                 near = np.zeros(2 * CLASSES)
                 for x in cells:
                     near[x["cell"]] = x["n"]
-                out.append(best_class(big, int(now[w]), near[:CLASSES], near[CLASSES:]))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(out, pa.int32())], ["word", "class"])
+                old.append(int(m["known_class"][w] if far is None else m["of"][m["kinds"][far]]))
+                out.append(best_class(big, old[-1], near[:CLASSES], near[CLASSES:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(old, pa.int32()), pa.array(out, pa.int32())], ["word", "far", "c", "old", "class"])
 
     return run
 
@@ -285,24 +349,30 @@ def _score(model):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in range(9)]
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                    words = _words(text)
-                    words.append(END)
-                    n = len(words)
+                    words = [END, *_words(text), END]
+                    n = len(words) - 1
                     at_word, cls = word_classes(m, words)
-                    seen = at_word >= 0
-                    far = Counter([words[k] for k in np.flatnonzero(~seen).tolist()])
-                    got = at_word[seen]
-                    s = step[np.concatenate(([0], cls[:-1])), cls].sum() + emit[got].sum() + rare[cls[~seen]].sum()
+                    seen = at_word[1:] >= 0
+                    far = Counter([words[k] for k in np.flatnonzero(at_word < 0).tolist()])
+                    got, to = at_word[1:][seen], cls[1:]
+                    s = step[cls[:-1], to].sum() + emit[got].sum() + rare[to[~seen]].sum()
                     b = base[got].sum() - (n - len(got)) * m["scale"]
                     row += 1
-                    for x, v in zip(cols, (row, doc_id, None, n, int((m["counts"][got] > 0).sum()), float(b), float(s))):
+                    for x, v in zip(cols, (row, doc_id, None, None, n, int((m["counts"][got] > 0).sum()), float(b), float(s), None)):
                         x.append(v)
+                    cells: dict = {}
+                    if m["beyond"]:
+                        for w, following, k in far_steps(words, at_word, cls):
+                            cells.setdefault((w, following), []).append(k)
                     for w, tf in far.items():
-                        for x, v in zip(cols, (row, doc_id, w, tf, 0, 0.0, 0.0)):
+                        for x, v in zip(cols, (row, doc_id, w, None, tf, 0, 0.0, 0.0, cells.pop((w, None), None))):
                             x.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["row", "doc_id", "word", "n", "n_known", "base", "score"])
+                    for (w, following), k in cells.items():
+                        for x, v in zip(cols, (row, doc_id, w, following, len(k), 0, 0.0, 0.0, k[:1])):
+                            x.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32())))], ["row", "doc_id", "word", "next", "n", "n_known", "base", "score", "cells"])
 
     return run
 
@@ -336,54 +406,89 @@ def _cells(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def fit(d: DataFrame, counts: DataFrame, room: int = FREQUENT) -> dict:
-    """The model: classes of words, log10 of class steps and word emissions, and the base's parts."""
-    share = d.sparkSession.sparkContext.broadcast
+def fit(d: DataFrame, counts: DataFrame, room: int = FREQUENT, ws: Workspace | None = None) -> dict:
+    """The model: classes of words, log10 of class steps and word emissions, and the base's parts.
+
+    moved: a table of the words beyond the known that have another class than their ending's, or None.
+    """
+    share, ws = d.sparkSession.sparkContext.broadcast, ws or Workspace(d.sparkSession, "brown")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words, c = most_frequent(counts, KNOWN)
+    beyond = len(words) < v and bool(c[-1] >= OWN)  # may a word that is not known have been seen so often?
     if END not in words:  # always among the known, even without training documents
-        words, c = [*words, END], np.append(c, 0)
+        rare_end = counts.where(F.col("word") == F.lit(END)).first()
+        words, c = [*words, END], np.append(c, rare_end.c if rare_end else 0)
     kinds = TypeOf([w for w in words if w != END][:room], room)
     grams = _cells(d.mapInArrow(_bigrams(kinds), "k long, n long"), kinds.size**2).reshape(kinds.size, kinds.size)
     of = exchange(grams)
     known_class = of[np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))]
     own = c >= OWN
     own[[k for k, w in enumerate(words) if w in kinds]] = False
-    m = {"index": {w: k for k, w in enumerate(words)}, "kinds": kinds, "of": of, "known_class": known_class, "own": own}
-    if own.any():
+    m = {"index": {w: k for k, w in enumerate(words)}, "kinds": kinds, "of": of, "known_class": known_class, "own": own, "beyond": beyond}
+    moved = None
+    if own.any() or beyond:
         one = np.zeros((kinds.size, CLASSES))
         one[np.arange(kinds.size), of] = 1
         first = share(m)
-        near = d.mapInArrow(_pass(first, _contexts), "word int, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
-        near = near.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most 2 * CLASSES a word
-        moved = near.mapInArrow(_exchanged(first, one.T @ grams @ one), "word int, class int").toArrow()
-        known_class[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
+        by = ["word", "far"] if beyond else ["word"]
+        near = d.mapInArrow(_pass(first, _contexts), "word int, far binary, cell int, n long").groupBy(*by, "cell").agg(F.sum("n").alias("n"))
+        # each time that a word is seen, one class is before it
+        near = near.groupBy(*by).agg(F.sum(F.when(F.col("cell") >= CLASSES, F.col("n")).otherwise(0)).alias("c"), F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most 2 * CLASSES a word
+        near = near.where(F.col("c") >= OWN).select("word", F.col("far") if beyond else F.lit(None).cast("binary").alias("far"), "c", "cells")
+        found = near.mapInArrow(_exchanged(first, one.T @ grams @ one), "word int, far binary, c long, old int, class int")
+        if beyond:
+            found = ws.keep(found)
+            moved = found.where("far IS NOT NULL AND old <> class").select("far", "c", "old", "class")
+        known = found.where("far IS NULL").select("word", "class").toArrow()
+        known_class[known.column("word").to_numpy()] = known.column("class").to_numpy()
         first.unpersist()
     second = share(m)
-    big = _cells(d.mapInArrow(_pass(second, _steps), "k long, n long"), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
-    size = counts.mapInArrow(_sizes(second), "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
+    rows = d.mapInArrow(_pass(second, _steps), "word binary, next binary, k long, n long")
+    rows = ws.keep(rows) if beyond else rows
+    big = _cells(rows.where("word IS NULL"), CLASSES * CLASSES)
+    if beyond:
+        big += _cells(_corrected(rows, moved), CLASSES * CLASSES)
+        ws.drop(rows)
+    big = big.reshape(CLASSES, CLASSES)
     second.unpersist()
-    cn, cv = np.zeros(CLASSES), np.zeros(CLASSES)
-    cn[size.column("k").to_numpy()], cv[size.column("k").to_numpy()] = size.column("n").to_numpy(), size.column("v").to_numpy()
+    cn, cv = _sizes(counts, m, c, moved)
     scale, rare = np.log10(n + 0.5 * (v + 1)), -np.log10(cn + 0.5 * (cv + 1))
     step = np.log10((big + 0.5) / (big.sum(1, keepdims=True) + 0.5 * CLASSES))
-    return m | {"counts": c, "step": step, "base": np.log10(c + 0.5) - scale, "emit": np.log10(c + 0.5) + rare[known_class], "rare": rare, "scale": scale, "total": int(n)}
+    return m | {"counts": c, "step": step, "base": np.log10(c + 0.5) - scale, "emit": np.log10(c + 0.5) + rare[known_class], "rare": rare, "scale": scale, "total": int(n), "moved": moved}
+
+
+def _numbers(x: np.ndarray):
+    """A constant array column."""
+    return F.split(F.lit(",".join(map(repr, x.ravel().tolist()))), ",").cast("array<double>")
+
+
+def _rescored(rows: DataFrame, seen: DataFrame, m: dict) -> DataFrame:
+    """(at, more, add, change) of each row of a document and word beyond the known: its count's part of both scores, and what its own class changes."""
+    far = rows.where("word IS NOT NULL AND next IS NULL").select("row", "word", "n", "cells").join(seen, F.col("word") == F.col("of"), "left")
+    more, add = F.when(F.col("c") > 0, F.col("n")).otherwise(0), F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
+    if (moved := m["moved"]) is None:
+        return far.select(F.col("row").alias("at"), more.alias("more"), add.alias("add"), F.lit(0.0).alias("change"))
+    step, rare = _numbers(m["step"]), _numbers(m["rare"])
+    to = lambda c, x: F.get(step, F.when(x < CLASSES, F.col(c) * CLASSES + x).otherwise((x - CLASSES) * CLASSES + F.col(c)))
+    steps = F.aggregate(F.coalesce("cells", F.array().cast("array<int>")), F.lit(0.0), lambda acc, x: acc + to("class", x) - to("old", x))
+    change = F.when(F.col("class").isNotNull(), F.col("n") * (F.get(rare, F.col("class")) - F.get(rare, F.col("old"))) + steps).otherwise(0.0)
+    one = far.join(moved.select("far", "old", "class"), F.col("word") == F.col("far"), "left").select(F.col("row").alias("at"), more.alias("more"), add.alias("add"), change.alias("change"))
+    pairs = rows.where("next IS NOT NULL").select("row", "word", "next", "n", F.get("cells", F.lit(0)).cast("long").alias("k"))
+    two = _both_moved(pairs, moved).select(F.col("row").alias("at"), F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("add"), (F.col("n") * (F.get(step, F.col("to").cast("int")) - F.get(step, F.col("k").cast("int")))).alias("change"))
+    return one.union(two)
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, room: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = docs.sparkSession
     ws = Workspace(spark, "brown")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = ws.keep(d.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    m = fit(d, counts)
-    n, model = m["total"], spark.sparkContext.broadcast(m)
-    rows = ws.keep(d.mapInArrow(_score(model), "row long, doc_id long, word binary, n long, n_known long, base double, score double"))
-    far = rows.where("word IS NOT NULL").select("row", "word", "n")
+    m = fit(d, counts, room, ws)
+    n, model = m["total"], spark.sparkContext.broadcast({k: x for k, x in m.items() if k != "moved"})
+    rows = ws.keep(d.mapInArrow(_score(model), "row long, doc_id long, word binary, next binary, n long, n_known long, base double, score double, cells array<int>"))
     seen = counts.select(F.col("word").alias("of"), "c")
-    late = far.join(seen, F.col("word") == F.col("of"), "left").groupBy(F.col("row").alias("at")).agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("add")
-    )
+    late = _rescored(rows, seen, m).groupBy("at").agg(F.sum("more").alias("more"), F.sum("add").alias("add"), F.sum("change").alias("change"))
     out = rows.where("word IS NULL").join(late, F.col("row") == F.col("at"), "left").select(
         "doc_id",
         (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1).alias("held_out"),
@@ -391,6 +496,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce(F.col("add") + F.col("change"), F.lit(0.0))).alias("score"),
     )
     return ws.finish(out)
