@@ -51,6 +51,8 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?
 #: Element names by their place in HTML, fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe title svg math object canvas select audio video xmp noframes".split())
+#: The start of a raw element's end tag; A-Z only are read as a-z.
+_RAW_END = {x: re.compile(rf"</{x}(?:[ \t\r\n\f/>]|\Z)", re.I | re.A) for x in RAW}
 DROPPED = frozenset("nav header footer aside form button menu dialog fieldset head".split()) | RAW
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr caption figcaption figure".split()) | INLINE
@@ -65,7 +67,6 @@ NOTICE = frozenset(
 NEUTRAL = frozenset("site page top bottom left right box wrap wrapper container list section area block bar inner outer global main item items panel slot unit links link form row col text content title heading buttons button icon icons".split())
 _WORD = re.compile(r"[^A-Za-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
-_GAP = re.compile(r"\s+")
 _LETTER = re.compile(r"[^\W_]")
 
 
@@ -150,7 +151,7 @@ def parse(page: str) -> Node:
     it, as in browsers.
     """
     root = Node("#root")
-    stack, tags, lower = _Stack(root), _Tags(page), ""
+    stack, tags = _Stack(root), _Tags(page)
     names = stack.names
     at, n = 0, len(page)
     while at < n:
@@ -201,11 +202,8 @@ def parse(page: str) -> Node:
         if alone:
             continue
         if name in RAW:
-            lower = lower or page.translate(_ASCII_LOWER)
-            end = lower.find(f"</{name}", at)
-            while end >= 0 and lower[end + len(name) + 2 : end + len(name) + 3].strip(" \t\r\n\f/>"):
-                end = lower.find(f"</{name}", end + 1)
-            end = page.find(">", end) if end >= 0 else -1
+            m = _RAW_END[name].search(page, at)
+            end = page.find(">", m.start()) if m else -1
             at = end + 1 if end >= 0 else n
         elif name not in VOID and len(stack) < DEEPEST:
             stack.append(node)
@@ -214,9 +212,6 @@ def parse(page: str) -> Node:
     return root
 
 
-_ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
-
-
 def _spare_article(root: Node) -> None:
     """If words of attributes alone leave a page without its <article> and <main>, these words are disregarded around them."""
     found: list[list[Node]] = []
@@ -277,7 +272,7 @@ def seal(root: Node, seed: int = 0) -> None:
                 h.update(x.hash.to_bytes(8, "little"))
                 size += x.size
             else:
-                text = _GAP.sub(" ", x).strip()
+                text = " ".join(x.split())
                 if text:
                     h.update("\0" + text)
                     size += len(text)
@@ -336,7 +331,7 @@ def _text(root: Node) -> str:
 
     def flush() -> None:
         if part:
-            text = _GAP.sub(" ", entities.unescape("".join(part))).strip()
+            text = " ".join(entities.unescape("".join(part)).split())
             part.clear()
             if text:
                 blocks.append(text)

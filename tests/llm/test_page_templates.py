@@ -67,3 +67,16 @@ def test_rows_with_clashing_columns_nulls_and_repeats(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, hash long")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract_main_text(pages).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
     assert extract_main_text(pages.where("hash > 9")).count() == 0
+
+
+def test_a_raw_element_costs_no_copy_of_the_page():
+    """A page of other letters was translated as a whole, letter by letter, for its first script."""
+    import time
+
+    from glyphflow.llm.html_text import main_text, parse
+
+    page = "<script>var t='</scripty>';</SCRIPT\n>" + "é" * (6 << 20)
+    t = time.process_time()
+    parse(page)
+    assert time.process_time() - t < 0.5
+    assert main_text("<script>a</ſcript>b</script/>c<style>d</STYLE") == "c"
