@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.plans.staging import Workspace, one_partition
 
 
-def components(ws: Workspace, edges: DataFrame) -> DataFrame:
+def joined(edges: pa.Table) -> pa.Table:
+    """(id, component) of edges in memory."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for a, b in zip(*(c.to_pylist() for c in edges.columns)):
+        if a != b:
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    ids = list(up)
+    return pa.table({"id": pa.array(ids, pa.int64()), "component": pa.array(map(top, ids), pa.int64(), size=len(ids))})
+
+
+def components(ws: Workspace, edges: DataFrame, here: int = 0) -> DataFrame:
     """Returns (id, component): the smallest id reachable, for each id with an edge.
 
     edges: (a, b), in either direction, repeats and loops allowed. Each round takes the
@@ -17,7 +35,12 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     about log2 of the longest path rounds. Joins are plain equi-joins of staged tables,
     so that adaptive execution splits a hub's partition; where the edges are counted as few,
     they are one partition and nothing is shuffled. An empty table gives no rows.
+
+    Up to ``here`` edges, by their count, are put together in the driver instead (16 bytes
+    each): the rounds are many small jobs.
     """
+    if here and edges.count() <= here:
+        return ws.spark.createDataFrame(joined(edges.select("a", "b").toArrow())).coalesce(1)
     both = one_partition(ws.keep(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u <> v").distinct()))
     label = one_partition(ws.keep(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component"))))
     while True:

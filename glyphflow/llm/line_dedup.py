@@ -41,6 +41,8 @@ from glyphflow.plans.staging import Workspace, broadcast_if_small, one_partition
 EDITS, MIN_CHARS = 2, 24
 #: Lines under one segment that are joined with its probes; cuts for more, lines in a block, shortest text to cut.
 SMALL, LEVELS, BLOCK, SHORTEST = 16, 4, 256, 12
+#: Edges that are put together in the driver.
+HERE = 1 << 16
 _LETTERS = "aeinorstlu"
 _BITS = 2 * EDITS + 4
 _MASK = (1 << _BITS) - 1
@@ -180,11 +182,16 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
     return let(F.struct(F.regexp_extract_all(a, every, F.lit(0)).alias("at"), F.regexp_extract_all(b, every, F.lit(0)).alias("bt"), a.alias("a"), b.alias("b")), whole)
 
 
+def _with_letters(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """The pairs (a, b) that letters allow."""
+    side = lambda x: text.select(F.col("id").alias(f"i{x}"), F.col("letters").alias(f"letters_{x}"))
+    return pairs.join(side("a"), F.col("a") == F.col("ia")).join(side("b"), F.col("b") == F.col("ib")).where(_may_link(F.col("letters_a"), F.col("letters_b"))).select("a", "b")
+
+
 def _verified(ws: Workspace, pairs: DataFrame, text: DataFrame) -> DataFrame:
-    """The pairs (a, b) within EDITS; their letters meet first, and lines only where these allow it."""
+    """Those of pairs (a, b) which letters allow that are within EDITS."""
     side = lambda x, *names: text.select(F.col("id").alias(f"i{x}"), *(F.col(n).alias(f"{n}_{x}") for n in names))
-    some = pairs.join(side("a", "letters"), F.col("a") == F.col("ia")).join(side("b", "letters"), F.col("b") == F.col("ib")).where(_may_link(F.col("letters_a"), F.col("letters_b")))
-    both = some.select("a", "b").join(side("a", "line"), F.col("a") == F.col("ia")).join(side("b", "line"), F.col("b") == F.col("ib"))
+    both = pairs.select("a", "b").join(side("a", "line"), F.col("a") == F.col("ia")).join(side("b", "line"), F.col("b") == F.col("ib"))
     both = both.select("a", "b", F.col("line_a").alias("la"), F.col("line_b").alias("lb"))
     if hasattr(text, "is_one"):  # joined in one task, compared in many
         both = both.repartition(4 * ws.spark.sparkContext.defaultParallelism, "a", "b")
@@ -219,42 +226,43 @@ def _large_groups(ws: Workspace, members: DataFrame, text: DataFrame, edges: Dat
     """Components of edges and of such further links that pairs under one key lie in one component or are not linked.
 
     members: key, id, less (by which lines indexed under the key are shorter), own (is it
-    indexed), rest (its line without what the key stands for).
+    indexed), rest (its line without what the key stands for), letters.
     """
     comp = edges.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)  # at first each line stands for itself
     for level in range(LEVELS + 1):
         members = _divided(ws, members, comp)
         if level and members.count() == 0:
             break
-        draw = F.min(F.when(F.col("own"), F.struct(F.xxhash64(F.lit(level), "key", "id"), F.col("id").alias("lead"), F.col("component").alias("lead_component")))).alias("draw")
-        lead = members.groupBy("key").agg(draw).select(F.col("key").alias("of"), "draw.lead", "draw.lead_component")
-        pairs = members.join(lead, F.col("key") == F.col("of")).where("component <> lead_component").select(*_pair("id", "lead"))
+        draw = F.min(F.when(F.col("own"), F.struct(F.xxhash64(F.lit(level), "key", "id"), F.col("id").alias("lead"), F.col("component").alias("lead_component"), F.col("letters").alias("lead_letters")))).alias("draw")
+        lead = members.groupBy("key").agg(draw).select(F.col("key").alias("of"), "draw.lead", "draw.lead_component", "draw.lead_letters")
+        pairs = members.join(lead, F.col("key") == F.col("of")).where((F.col("component") != F.col("lead_component")) & _may_link(F.col("letters"), F.col("lead_letters"))).select(*_pair("id", "lead"))
         fits = (F.length("rest") - F.col("less") >= SHORTEST) & F.lit(level < LEVELS)
         late = members.where(~fits)
-        more = members.where(fits).select("key", "id", "less", "own", "rest", "component", F.explode(_again(F.col("key"), F.col("rest"), F.col("less"))).alias("x"))
-        more = _small_or_not(ws, more.select(F.col("x.key").alias("key"), "id", "less", (F.col("own") & (F.col("x.shift") == 0)).alias("own"), _without(F.col("rest"), F.length("rest"), F.col("less"), F.col("x.number"), F.col("x.shift")).alias("rest"), "component"))
+        more = members.where(fits).select("key", "id", "less", "own", "rest", "letters", "component", F.explode(_again(F.col("key"), F.col("rest"), F.col("less"))).alias("x"))
+        more = _small_or_not(ws, more.select(F.col("x.key").alias("key"), "id", "less", (F.col("own") & (F.col("x.shift") == 0)).alias("own"), _without(F.col("rest"), F.length("rest"), F.col("less"), F.col("x.number"), F.col("x.shift")).alias("rest"), "letters", "component"))
         hot = broadcast_if_small(_crowded(ws, more.where("own")), 8)
         few = more.join(hot, F.col("key") == F.col("of"), "left_anti")
-        own = few.where("own").select(F.col("key").alias("of"), F.col("id").alias("id2"), F.col("component").alias("component2"))
-        met = few.join(own, (F.col("key") == F.col("of")) & (F.col("component") != F.col("component2"))).select(*_pair("id", "id2"))
+        own = few.where("own").select(F.col("key").alias("of"), F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("letters").alias("letters2"))
+        met = few.join(own, (F.col("key") == F.col("of")) & (F.col("component") != F.col("component2")) & _may_link(F.col("letters"), F.col("letters2"))).select(*_pair("id", "id2"))
         new = _verified(ws, one_partition(ws.keep(pairs.union(met))).distinct(), text)
         if late.limit(1).count():
             new = new.union(_in_blocks(late, text))
         edges = one_partition(ws.keep(edges.union(new)))
-        comp = components(ws, edges)
+        comp = components(ws, edges, HERE)
         members = more.join(hot, F.col("key") == F.col("of"), "left_semi").drop("component").distinct()
     return comp
 
 
 def _in_blocks(members: DataFrame, text: DataFrame) -> DataFrame:
     """Links between the members under one key, one for each line, block and other component."""
-    its = members.join(text.select(F.col("id").alias("tid"), "letters", "line"), F.col("id") == F.col("tid"))
+    its = members.join(text.select(F.col("id").alias("tid"), "line"), F.col("id") == F.col("tid"))
     size = members.where("own").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("key", "of")
     sized = its.join(size, F.col("key") == F.col("of"))
     block = sized.where("own").groupBy(F.col("key").alias("bkey"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("bno")).agg(F.collect_list(F.struct("id", "component", "letters", "line")).alias("block"))
     asked = sized.withColumn("no", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = asked.join(block, (F.col("key") == F.col("bkey")) & (F.col("no") == F.col("bno")))
-    near = F.filter("block", lambda y: (y.component != F.col("component")) & _may_link(y.letters, F.col("letters")) & within_edits(y.line, F.col("line")))
+    # two lines that are both indexed meet from one side; Spark's own bounded distance rules out what the band need not be moved over
+    near = F.filter("block", lambda y: (y.component != F.col("component")) & (~F.col("own") | (y.id < F.col("id"))) & _may_link(y.letters, F.col("letters")) & (F.levenshtein(y.line, F.col("line"), EDITS) >= 0) & within_edits(y.line, F.col("line")))
     first = F.map_values(F.aggregate(near, F.expr("map()").cast("map<bigint,bigint>"), lambda acc, y: F.when(F.map_contains_key(acc, y.component), acc).otherwise(F.map_concat(acc, F.create_map(y.component, y.id)))))
     return met.select("id", F.explode(first).alias("id2")).select(*_pair("id", "id2")).distinct()
 
@@ -278,13 +286,13 @@ def line_components(ws: Workspace, docs_lines) -> DataFrame:
     ids = ws.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(member.select("id")).distinct())
     text = docs_lines().where(F.length("line") >= MIN_CHARS).withColumn("id", F.xxhash64("line")).join(broadcast_if_small(ids, 8), "id", "left_semi").select("id", "line").distinct()
     text = one_partition(ws.keep(text.withColumn("letters", letter_counts(F.col("line")))), "line")
-    edges = one_partition(_verified(ws, one_partition(pairs), text))
+    edges = one_partition(_verified(ws, _with_letters(one_partition(pairs), text), text))
     if member.count() == 0:
-        return components(ws, edges)
+        return components(ws, edges, HERE)
     at = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in LAYOUT]), F.col("pos") + 1)
-    cut = member.select("key", "id", at(0).alias("less"), (F.col("pos") <= EDITS).alias("own"), at(1).alias("number"), at(2).alias("shift")).join(text.select(F.col("id").alias("tid"), "line"), F.col("id") == F.col("tid"))
+    cut = member.select("key", "id", at(0).alias("less"), (F.col("pos") <= EDITS).alias("own"), at(1).alias("number"), at(2).alias("shift")).join(text.select(F.col("id").alias("tid"), "line", "letters"), F.col("id") == F.col("tid"))
     rest = _without(F.col("line"), F.length("line"), F.col("less"), F.col("number"), F.col("shift"))
-    return _large_groups(ws, _small_or_not(ws, cut.select("key", "id", "less", "own", rest.alias("rest"))), text, edges)
+    return _large_groups(ws, _small_or_not(ws, cut.select("key", "id", "less", "own", rest.alias("rest"), "letters")), text, edges)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
