@@ -19,6 +19,7 @@ blocks of BLOCK lines, and a line gives one link for each component that it reac
 block. So all pairs that meet are verified or lie in one component.
 
 Steps over tables that are counted as small run in one partition, without a shuffle.
+Up to HERE links, by their count, are put into components in the driver.
 Distinct lines move once, as their keys, and postings once; texts of pairs are fetched
 for lines in a pair or in a large segment only. Lines carry a 64-bit hash as id. Of a
 component of equal or linked lines the first, by doc_id and line number, stays in its
