@@ -3,23 +3,27 @@
 Words of the training documents are counted over the whole corpus. Exchange clustering puts
 words into classes in two stages. First the FREQUENT most frequent words, and types that
 join rarer words by their ending, are exchanged one by one over their bigram counts. Then
-every further word that was seen OWN times or more is exchanged by its own contexts: a pass over the corpus counts the classes before and after it, the counts
-are summed in Spark, and each word takes the class with the largest gain in likelihood, all
-words against the same class bigrams, in parallel. Only rarer words keep the class of their
-ending. Class bigrams and sizes are then counted anew.
+every further word that was seen OWN times or more is exchanged by its own contexts: a pass
+over the corpus sends out the classes before and after it, and each word takes the class
+with the largest gain in likelihood, all words against the same class bigrams, in parallel.
+Only rarer words keep the class of their ending. Class bigrams and sizes are then counted
+anew.
 
 A word's probability is P(class | class before) * P(word | class), both smoothed by
 additive counts, and a text's score is the sum of log10 over its tokens.
 
-What grows with the corpus stays distributed: the table of word counts, and contexts of
-words, are built and used by shuffles. Bounded by parameters, and so shared with all
-workers: the KNOWN most frequent words with their counts and classes (found by a histogram
-of counts), and the types' bigram matrix. Words beyond KNOWN have the same classes as if
-they were shared, by joins: the passes take them by their endings and send out each one with
-the classes of its neighbours (or the neighbour, if it is such a word too); where a word's own
-class differs from its ending's, the rows are corrected. In scoring they leave as (document,
-word, count) rows and meet their counts; such words are rare by their rank, so that no join
-has a hot key. If no word beyond KNOWN was seen OWN times, none of this is run.
+What grows with the corpus stays distributed. Contexts leave the pass as one row for each
+block of words (a range of hashes), in which a word stands once with all its neighbours'
+classes; a block's rows meet in one call, which gives the count and class of each of its
+words. Bounded by parameters, and so shared with all workers: the KNOWN most frequent words
+with their counts and classes (found by a histogram of counts), and the types' bigram
+matrix. KNOWN says only where a word is looked up and changes no result: texts are encoded
+once, one byte of class for each token; words that are not shared leave with their place in
+the text, meet their counts and classes in one join, and come back to the text's row. Class
+bigrams and scores are then read from the bytes. Such words are rare by their rank, so that
+the join has no hot key.
+
+Words are counted by their bytes; those in the passes are compared by 64-bit hashes.
 
 Training documents are those with crc32 of the id as text mod 5 other than 1.
 
@@ -40,13 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphflow.llm.kernels import _LOWER, Bytes, slices, span_hash
 from glyphflow.plans.staging import Workspace
 
 END = b"\n"
 FREQUENT, ENDINGS = 384, 127
 CLASSES, SWEEPS = 64, 6
 KNOWN, OWN = 1 << 18, 5
-FLUSH = 400_000
+FLUSH, HELD, PIECE, AT_ONCE, BLOCK = 400_000, 2_000_000, 1 << 20, 1024, 1 << 19
 
 
 def held_out(doc_id: int) -> bool:
@@ -94,174 +99,163 @@ class TypeOf(dict):
 
     __missing__ = ending
 
-    def __reduce__(self):
-        return TypeOf, (sorted((w for w in self if w != END), key=self.get), self.room)
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return span_hash(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends)[:-1], ends)
+
+
+class Places:
+    """Where a hash stands in an array of distinct hashes, by open addressing over whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, np.uint64(0))  # for slots that are free; no slot points to it
+        self.mask = np.uint64((1 << max(4, (4 * len(keys)).bit_length())) - 1)
+        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), keys & self.mask
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            out = self.slots[at] != left
+            left, at = left[out], (at[out] + np.uint64(1)) & self.mask
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places, or -1."""
+        at = h & self.mask
+        k = self.slots[at]
+        again = np.flatnonzero((k >= 0) & (self.keys[k] != h))
+        while len(again):
+            at[again] = (at[again] + np.uint64(1)) & self.mask
+            k[again] = self.slots[at[again]]
+            again = again[(k[again] >= 0) & (self.keys[k[again]] != h[again])]
+        return k
+
+
+_CRC = np.arange(256, dtype=np.uint32)  # the table of zlib's crc32
+for _ in range(8):
+    _CRC = (_CRC >> 1) ^ (_CRC & 1) * np.uint32(0xEDB88320)
+
+
+class Flat:
+    """Words of texts in one sequence, with an end after each text; ``at``: each word's place in it."""
+
+    def __init__(self, col: pa.Array):
+        source = Bytes(col)
+        self.rows, self.data, self.words = source.rows, source.data, source.words()
+        self.hash = self.words.hash
+        self.at = np.arange(len(self.words)) + self.words.row
+        self.starts = self.words.first + np.arange(self.rows + 1)  # of each text, and the end
+
+    def endings(self, which: np.ndarray) -> np.ndarray:
+        """As TypeOf.ending has them, without the room before: crc32 of each word's last three bytes."""
+        starts, ends = self.words.starts[which], self.words.ends[which]
+        c = np.full(len(which), 0xFFFFFFFF, np.uint32)
+        for k in (3, 2, 1):
+            at = ends - k
+            c = np.where(at >= starts, _CRC[(c ^ _LOWER[self.data[np.maximum(at, 0)]]) & 255] ^ (c >> 8), c)
+        return (c ^ np.uint32(0xFFFFFFFF)) % ENDINGS
+
+    def types(self, top: Places, room: int) -> np.ndarray:
+        """TypeOf of each word."""
+        k = top.find(self.hash)
+        far = np.flatnonzero(k < 0)
+        k[far] = room + self.endings(far)
+        return k
+
+    def spread(self, of_words: np.ndarray, of_end: int) -> np.ndarray:
+        """Values of the sequence, an end before it."""
+        out = np.full(1 + int(self.starts[-1]), of_end, of_words.dtype)
+        out[1 + self.at] = of_words
+        return out
 
 
-def _bigrams(kinds: TypeOf):
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[Flat]:
+    for batch in batches:
+        part = batch.filter(pa.array([not held_out(k) for k in batch.column(0).to_pylist()], pa.bool_()))
+        if part.num_rows:
+            yield from (Flat(x.column(1)) for x in slices(part))
+
+
+def _bigrams(top: Places, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = kinds.size
+        size = room + ENDINGS + 1
         total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                flat: list[bytes] = [END]
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                    if not held_out(doc_id):
-                        flat += _words(text)
-                        flat.append(END)
-                ids = np.fromiter(map(kinds.__getitem__, flat), np.int64, len(flat))
-                total += np.bincount(ids[:-1] * size + ids[1:], minlength=size * size)
+        for flat in _training(batches):
+            ids = flat.spread(flat.types(top, room), size - 1).astype(np.int64)
+            total += np.bincount(ids[:-1] * size + ids[1:], minlength=size * size)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
 
     return run
 
 
-def _pass(model, make):
-    """A function over (doc_id, text) batches; make(model) gives what takes each slice's words and ends the pass.
+def _contexts(top: Places, room: int, of: np.ndarray, blocks: int):
+    """The classes after and before each word that is not a type of its own; one row for each block of words."""
 
-    Words come as one list of training texts, with an end before and after each of them.
-    """
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        h, ending, near = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h)
+        h, near = h[order], near[order]
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        word, ending, n = h[at], ending[order[at]], np.diff(np.append(at, len(h))).astype(np.int32)
+        block = ((word >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        there, cut = np.unique(block, return_index=True)
+        cut, near_cut = np.append(cut, len(word)), np.append(at[cut], len(h))
+        parts = lambda x, bounds: pa.array([x[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), parts(word, cut), parts(ending, cut), parts(n, cut), parts(near, near_cut)], ["block", "words", "endings", "n", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take, end = make(model.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                flat: list[bytes] = [END]
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                    if not held_out(doc_id):
-                        flat += _words(text)
-                        flat.append(END)
-                yield from take(flat)
-        yield from end()
+        held, size = [], 0
+        for flat in _training(batches):
+            kind = flat.types(top, room)
+            cls = flat.spread(of[kind].astype(np.uint8), 0)
+            own = np.flatnonzero(kind >= room)
+            at = 1 + flat.at[own]
+            held.append((flat.hash[own], (kind[own] - room).astype(np.uint8), np.stack((cls[at + 1], cls[at - 1]), 1)))
+            size += len(own)
+            if size > HELD:
+                yield rows(held)
+                held, size = [], 0
+        if size:
+            yield rows(held)
 
     return run
 
 
-def word_classes(m: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(place among the known or -1, class) of words."""
-    n = len(words)
-    at = np.fromiter(map(m["index"].get, words, [-1] * n), np.int64, n)
-    cls = m["known_class"][at]
-    far = np.flatnonzero(at < 0)
-    cls[far] = m["of"][np.fromiter((m["kinds"][words[k]] for k in far.tolist()), np.int64, len(far))]
-    return at, cls
-
-
-def _contexts(m: dict):
-    """Counts of the classes before (cell >= CLASSES) and after each word that is exchanged by its own contexts."""
-    held: list[np.ndarray] = []
-    far: Counter = Counter()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array((key // (2 * CLASSES)).astype(np.int32)), pa.nulls(len(key), pa.binary()), pa.array((key % (2 * CLASSES)).astype(np.int32)), pa.array(n)], ["word", "far", "cell", "n"])
-        if far:
-            words, cells = zip(*far)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(far), pa.int32()), pa.array(words, pa.binary()), pa.array(cells, pa.int32()), pa.array(list(far.values()), pa.int64())], ["word", "far", "cell", "n"])
-            far.clear()
-
-    def take(flat: list[bytes]) -> Iterator[pa.RecordBatch]:
-        at, cls = word_classes(m, flat)
-        if m["beyond"]:
-            for k in np.flatnonzero(at < 0).tolist():
-                far[flat[k], int(cls[k + 1])] += 1
-                far[flat[k], CLASSES + int(cls[k - 1])] += 1
-        own = np.flatnonzero((at >= 0) & m["own"][at])
-        held.append(at[own] * (2 * CLASSES) + cls[own + 1])
-        held.append(at[own] * (2 * CLASSES) + CLASSES + cls[own - 1])
-        if sum(map(len, held)) > 4_000_000 or len(far) > FLUSH:
-            yield from flush()
-
-    return take, flush
-
-
-def far_steps(words: list[bytes], at: np.ndarray, cls: np.ndarray) -> Iterator[tuple[bytes, bytes | None, int]]:
-    """The bigrams with words beyond the known: (word, None, cell of a known neighbour), or (word, the next word, class bigram).
-
-    The first and the last word are ends, so known.
-    """
-    for k in np.flatnonzero(at < 0).tolist():
-        if at[k - 1] >= 0:
-            yield words[k], None, CLASSES + int(cls[k - 1])
-        if at[k + 1] >= 0:
-            yield words[k], None, int(cls[k + 1])
-        else:
-            yield words[k], words[k + 1], int(cls[k]) * CLASSES + int(cls[k + 1])
-
-
-def _steps(m: dict):
-    """Counts of class bigrams, words beyond the known by their endings; their bigrams also one by one (far_steps)."""
-    total = np.zeros(CLASSES * CLASSES, np.int64)
-    far: Counter = Counter()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if far:
-            words, nexts, k = zip(*far)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(nexts, pa.binary()), pa.array(k, pa.int64()), pa.array(list(far.values()), pa.int64())], ["word", "next", "k", "n"])
-            far.clear()
-
-    def take(flat: list[bytes]) -> Iterator[pa.RecordBatch]:
-        at, cls = word_classes(m, flat)
-        total[:] += np.bincount(cls[:-1] * CLASSES + cls[1:], minlength=CLASSES * CLASSES)
-        if m["beyond"]:
-            far.update(far_steps(flat, at, cls))
-            if len(far) > FLUSH:
-                yield from flush()
-
-    def end() -> Iterator[pa.RecordBatch]:
-        yield from flush()
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.binary()), pa.array(k), pa.array(total[k])], ["word", "next", "k", "n"])
+def _exchanged(model, big: np.ndarray, room: int, of: np.ndarray):
+    """Count and class of each word of a block; word: its place among the known, or -1."""
+
+    def run(block: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.frombuffer(b"".join(block.column(name).to_pylist()), kind)
+        n, near = read("n", np.int32), read("near", np.uint8).reshape(-1, 2)
+        h, at = np.unique(read("words", np.uint64), return_inverse=True)
+        c = np.bincount(at, n, len(h)).astype(np.int64)
+        ending = np.zeros(len(h), np.int64)
+        ending[at] = read("endings", np.uint8)
+        old = of[room + ending]
+        new = old.copy()
+        own = np.flatnonzero(c >= OWN)
+        row = np.full(len(h), -1)
+        row[own] = np.arange(len(own))
+        cells, ends, k = np.zeros(len(own) * 2 * CLASSES, np.int64), np.append(0, np.cumsum(n)), 0
+        while k < len(n):  # a common word may be seen far more often than its block has words
+            to = max(k + 1, int(np.searchsorted(ends, ends[k] + PIECE, "right")) - 1)
+            at_row = np.repeat(row[at[k:to]], n[k:to])
+            known, at_row = at_row >= 0, at_row[at_row >= 0] * 2 * CLASSES
+            for side, x in enumerate(near[ends[k] : ends[to]][known].T):
+                cells += np.bincount(at_row + side * CLASSES + x, minlength=len(cells))
+            k = to
+        cells = cells.reshape(-1, 2, CLASSES)
+        for k in range(0, len(own), AT_ONCE):
+            some, beside = own[k : k + AT_ONCE], cells[k : k + AT_ONCE].astype(float)
+            new[some] = best_classes(big, old[some], beside[:, 0], beside[:, 1])
+        return pa.table({"word": model.value.find(h), "h": h.view(np.int64), "c": c, "old": old.astype(np.int32), "class": new.astype(np.int32)})
 
-    return take, end
-
-
-def _corrected(rows: DataFrame, moved: DataFrame) -> DataFrame:
-    """(k, n) to add to class bigrams for the words that moved from their endings' classes."""
-    one = rows.where("word IS NOT NULL AND next IS NULL").groupBy("word", "k").agg(F.sum("n").alias("n")).join(moved, F.col("word") == F.col("far"))
-    cell = lambda c: F.when(F.col("k") < CLASSES, F.col(c) * CLASSES + F.col("k")).otherwise((F.col("k") - CLASSES) * CLASSES + F.col(c))
-    two = _both_moved(rows.where("next IS NOT NULL").groupBy("word", "next", "k").agg(F.sum("n").alias("n")), moved)
-    change = lambda old, new: F.explode(F.array(F.struct(old.cast("long").alias("k"), (-F.col("n")).alias("n")), F.struct(new.cast("long").alias("k"), F.col("n").alias("n")))).alias("x")
-    return one.select(change(cell("old"), cell("class"))).union(two.select(change(F.col("k"), F.col("to")))).select("x.k", "x.n")
-
-
-def _both_moved(pairs: DataFrame, moved: DataFrame) -> DataFrame:
-    """Pairs (word, next, k) of which one has moved, with their new class bigram ``to``."""
-    a, b = moved.select(F.col("far").alias("far_a"), F.col("class").alias("class_a")), moved.select(F.col("far").alias("far_b"), F.col("class").alias("class_b"))
-    both = pairs.join(a, F.col("word") == F.col("far_a"), "left").join(b, F.col("next") == F.col("far_b"), "left").where("class_a IS NOT NULL OR class_b IS NOT NULL")
-    return both.withColumn("to", F.coalesce("class_a", F.floor(F.col("k") / CLASSES)) * CLASSES + F.coalesce("class_b", F.col("k") % CLASSES))
-
-
-def _sizes(counts: DataFrame, m: dict, c: np.ndarray, moved: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and words of each class: all words by their endings, then those that have another class."""
-    ending = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(ENDINGS)).cast("int").alias("k")
-    every = counts.groupBy(ending).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()
-    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
-    by = m["of"][m["kinds"].room + every.column("k").to_numpy()]
-    np.add.at(n, by, every.column("n").to_numpy())
-    np.add.at(v, by, every.column("v").to_numpy())
-    seen = [(k, w) for k, w in enumerate(m["index"]) if c[k] > 0]
-    at = np.array([k for k, _ in seen], np.int64)
-    was = m["of"][np.array([m["kinds"].ending(w) for _, w in seen], np.int64)]
-    now = m["known_class"][at]
-    for total, x in ((n, c[at].astype(float)), (v, np.ones(len(at)))):
-        np.subtract.at(total, was, x)
-        np.add.at(total, now, x)
-    if moved is not None:
-        for r in moved.groupBy("old", "class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most CLASSES squared
-            for total, x in ((n, r.n), (v, r.v)):
-                total[r.old] -= x
-                total[r["class"]] += x
-    return n, v
+    return run
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    return x * np.log(np.maximum(x, 1))  # counts: 0 or 1 at least
 
 
 def gains(big: np.ndarray, right: np.ndarray, left: np.ndarray, self_: float = 0.0) -> np.ndarray:
@@ -276,30 +270,41 @@ def gains(big: np.ndarray, right: np.ndarray, left: np.ndarray, self_: float = 0
     return gain
 
 
-def best_class(big: np.ndarray, now: int, right: np.ndarray, left: np.ndarray) -> int:
-    """The class of the largest gain, the word taken out of the one it is in; no empty one, which many words would choose at once."""
-    rest = big.copy()
-    rest[now] = np.maximum(rest[now] - right, 0)
-    rest[:, now] = np.maximum(rest[:, now] - left, 0)
-    gain = np.where(big.sum(1) > 0, gains(rest, right, left), -np.inf)
-    b = int(np.argmax(gain))
-    return b if gain[b] > gain[now] + 1e-9 else now
-
-
-def _exchanged(model, big: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in batches:
-            old, out = [], []
-            for w, far, cells in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))):
-                near = np.zeros(2 * CLASSES)
-                for x in cells:
-                    near[x["cell"]] = x["n"]
-                old.append(int(m["known_class"][w] if far is None else m["of"][m["kinds"][far]]))
-                out.append(best_class(big, old[-1], near[:CLASSES], near[CLASSES:]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(old, pa.int32()), pa.array(out, pa.int32())], ["word", "far", "c", "old", "class"])
+def best_classes(big: np.ndarray, now: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each word (a row) the class of the largest gain, the word taken out of the one it is in.
 
-    return run
+    right, left: counts of the classes after and before it. No empty class is taken, which many
+    words would choose at once. Classes that are not beside a word change no cell, so only
+    the others are looked at.
+    """
+    all_, away = np.arange(len(now)), np.ascontiguousarray(big.T)
+    d = np.tile(np.diag(big), (len(now), 1))
+    d[all_, now] = np.maximum(big[now, now] - right[all_, now] - left[all_, now], 0)
+    gain = _xlogx(d + right + left) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
+    for near, other, cells in ((right, left, away), (left, right, big)):
+        logs = _xlogx(cells)
+        w, k = np.nonzero(near)
+        n, own, e = near[w, k], now[w], np.arange(len(w))
+        rest, was = cells[k], logs[k]
+        rest[e, own] = np.maximum(rest[e, own] - n, 0)
+        was[e, own] = _xlogx(rest[e, own])
+        same = np.flatnonzero(k == own)
+        rest[same] = np.maximum(rest[same] - other[w[same]], 0)
+        was[same] = _xlogx(rest[same])
+        rest += n[:, None]
+        if len(w):
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            gain[w[first]] += np.add.reduceat(_xlogx(rest) - was, first)
+        # sums of this side's cells, without the word
+        out = np.maximum(away[now] - left if cells is away else big[now] - right, 0)
+        sums = cells.sum(0) - (away[now] if cells is away else big[now]) + out
+        mine = np.maximum(big[now] - right if cells is away else away[now] - left, 0)
+        sums[all_, now] = mine.sum(1) - mine[all_, now] + d[all_, now]
+        gain -= _xlogx(sums + near.sum(1, keepdims=True)) - _xlogx(sums)
+    gain[:, big.sum(1) <= 0] = -np.inf
+    gain[:, 0] = -np.inf
+    best = gain.argmax(1)
+    return np.where(gain[all_, best] > gain[all_, now] + 1e-9, best, now)
 
 
 def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -340,39 +345,77 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
     return of
 
 
-def _score(model):
+def _encoded(model):
+    """A row for each text: a byte of class for each token, sums over the known words, and the others with their places.
+
+    A word that is not known has its ending's class and count 0 here.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m, row = model.value, TaskContext.get().partitionId() << 40
-        step, base, emit, rare = m["step"], m["base"], m["emit"], m["rare"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                cols: list[list] = [[] for _ in range(9)]
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                    words = [END, *_words(text), END]
-                    n = len(words) - 1
-                    at_word, cls = word_classes(m, words)
-                    seen = at_word[1:] >= 0
-                    far = Counter([words[k] for k in np.flatnonzero(at_word < 0).tolist()])
-                    got, to = at_word[1:][seen], cls[1:]
-                    s = step[cls[:-1], to].sum() + emit[got].sum() + rare[to[~seen]].sum()
-                    b = base[got].sum() - (n - len(got)) * m["scale"]
-                    row += 1
-                    for x, v in zip(cols, (row, doc_id, None, None, n, int((m["counts"][got] > 0).sum()), float(b), float(s), None)):
-                        x.append(v)
-                    cells: dict = {}
-                    if m["beyond"]:
-                        for w, following, k in far_steps(words, at_word, cls):
-                            cells.setdefault((w, following), []).append(k)
-                    for w, tf in far.items():
-                        for x, v in zip(cols, (row, doc_id, w, None, tf, 0, 0.0, 0.0, cells.pop((w, None), None))):
-                            x.append(v)
-                    for (w, following), k in cells.items():
-                        for x, v in zip(cols, (row, doc_id, w, following, len(k), 0, 0.0, 0.0, k[:1])):
-                            x.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32())))], ["row", "doc_id", "word", "next", "n", "n_known", "base", "score", "cells"])
+            for part in slices(batch) if batch.num_rows else ():
+                flat = Flat(part.column(1))
+                words, ids = flat.words, part.column(0).to_pylist()
+                place = m["known"].find(flat.hash)
+                far = np.flatnonzero(place < 0)
+                cls = m["class"][place]
+                cls[far] = m["of"][m["room"] + flat.endings(far)]
+                at = (flat.at - flat.starts[words.row])[far]
+                bounds = np.searchsorted(far, words.first).astype(np.int32)
+                sums = [np.bincount(words.row, m[x][place], flat.rows) + m[x][m["end"]] for x in ("seen", "base", "emit")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row + np.arange(flat.rows)),
+                        pa.array(ids, pa.int64()),
+                        pa.array([not held_out(k) for k in ids], pa.bool_()),
+                        pa.array(np.diff(flat.starts)),
+                        pa.array(sums[0].astype(np.int64)),
+                        *map(pa.array, sums[1:]),
+                        pa.Array.from_buffers(pa.binary(), flat.rows, [None, pa.py_buffer(flat.starts.astype(np.int32)), pa.py_buffer(flat.spread(cls, 0)[1:].copy())]),
+                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.hash[far].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(at.astype(np.int32))),
+                    ],
+                    ["row", "doc_id", "training", "n", "n_known", "base", "emit", "cls", "far", "at"],
+                )
+                row += flat.rows
+
+    return run
+
+
+def _classes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the tokens of all texts, an end before them, and the texts' bounds; moved words have their own class."""
+    source, moved = Bytes(batch.column(0)), batch.column(1)
+    cls = np.append(np.uint8(0), source.data)
+    n = moved.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    x = moved.flatten().to_numpy(zero_copy_only=False)
+    cls[1 + np.repeat(source.bounds[:-1], n) + x // CLASSES] = x % CLASSES
+    return cls.astype(np.int64), source.bounds
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of class bigrams."""
+    total = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            cls, _ = _classes(batch)
+            total += np.bincount(cls[:-1] * CLASSES + cls[1:], minlength=CLASSES * CLASSES)
+    k = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
+
+
+def _score(step: np.ndarray, rare: np.ndarray):
+    """log10 of class steps and of the class's part in emissions, added to the counts' part; the columns after it go along."""
+    both = (step + rare).ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cls, bounds = _classes(batch)
+                s = np.add.reduceat(both[cls[:-1] * CLASSES + cls[1:]], bounds[:-1])  # each text has its end
+                yield pa.RecordBatch.from_arrays([pa.array(s + batch.column(2).to_numpy()), *batch.columns[3:]], ["score", "doc_id", "n", "n_known", "base"])
 
     return run
 
@@ -407,75 +450,48 @@ def _cells(df: DataFrame, size: int) -> np.ndarray:
 
 
 def fit(d: DataFrame, counts: DataFrame, room: int = FREQUENT, ws: Workspace | None = None) -> dict:
-    """The model: classes of words, log10 of class steps and word emissions, and the base's parts.
+    """The classes of words, and the base's parts.
 
-    moved: a table of the words beyond the known that have another class than their ending's, or None.
+    found: a staged table (word, h, c, old, class) of all words that are no types of their own:
+    place among the known or -1, hash, count, ending's class and class.
     """
     share, ws = d.sparkSession.sparkContext.broadcast, ws or Workspace(d.sparkSession, "brown")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words, c = most_frequent(counts, KNOWN)
-    beyond = len(words) < v and bool(c[-1] >= OWN)  # may a word that is not known have been seen so often?
     if END not in words:  # always among the known, even without training documents
         rare_end = counts.where(F.col("word") == F.lit(END)).first()
         words, c = [*words, END], np.append(c, rare_end.c if rare_end else 0)
-    kinds = TypeOf([w for w in words if w != END][:room], room)
-    grams = _cells(d.mapInArrow(_bigrams(kinds), "k long, n long"), kinds.size**2).reshape(kinds.size, kinds.size)
+    frequent = [w for w in words if w != END][:room]
+    kinds, top = TypeOf(frequent, room), Places(hashes(frequent))
+    grams = _cells(d.mapInArrow(_bigrams(top, room), "k long, n long"), kinds.size**2).reshape(kinds.size, kinds.size)
     of = exchange(grams)
     known_class = of[np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))]
     own = c >= OWN
     own[[k for k, w in enumerate(words) if w in kinds]] = False
-    m = {"index": {w: k for k, w in enumerate(words)}, "kinds": kinds, "of": of, "known_class": known_class, "own": own, "beyond": beyond}
-    moved = None
-    if own.any() or beyond:
-        one = np.zeros((kinds.size, CLASSES))
-        one[np.arange(kinds.size), of] = 1
-        first = share(m)
-        by = ["word", "far"] if beyond else ["word"]
-        near = d.mapInArrow(_pass(first, _contexts), "word int, far binary, cell int, n long").groupBy(*by, "cell").agg(F.sum("n").alias("n"))
-        # each time that a word is seen, one class is before it
-        near = near.groupBy(*by).agg(F.sum(F.when(F.col("cell") >= CLASSES, F.col("n")).otherwise(0)).alias("c"), F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most 2 * CLASSES a word
-        near = near.where(F.col("c") >= OWN).select("word", F.col("far") if beyond else F.lit(None).cast("binary").alias("far"), "c", "cells")
-        found = near.mapInArrow(_exchanged(first, one.T @ grams @ one), "word int, far binary, c long, old int, class int")
-        if beyond:
-            found = ws.keep(found)
-            moved = found.where("far IS NOT NULL AND old <> class").select("far", "c", "old", "class")
-        known = found.where("far IS NULL").select("word", "class").toArrow()
-        known_class[known.column("word").to_numpy()] = known.column("class").to_numpy()
-        first.unpersist()
-    second = share(m)
-    rows = d.mapInArrow(_pass(second, _steps), "word binary, next binary, k long, n long")
-    rows = ws.keep(rows) if beyond else rows
-    big = _cells(rows.where("word IS NULL"), CLASSES * CLASSES)
-    if beyond:
-        big += _cells(_corrected(rows, moved), CLASSES * CLASSES)
-        ws.drop(rows)
-    big = big.reshape(CLASSES, CLASSES)
-    second.unpersist()
-    cn, cv = _sizes(counts, m, c, moved)
-    scale, rare = np.log10(n + 0.5 * (v + 1)), -np.log10(cn + 0.5 * (cv + 1))
-    step = np.log10((big + 0.5) / (big.sum(1, keepdims=True) + 0.5 * CLASSES))
-    return m | {"counts": c, "step": step, "base": np.log10(c + 0.5) - scale, "emit": np.log10(c + 0.5) + rare[known_class], "rare": rare, "scale": scale, "total": int(n), "moved": moved}
-
-
-def _numbers(x: np.ndarray):
-    """A constant array column."""
-    return F.split(F.lit(",".join(map(repr, x.ravel().tolist()))), ",").cast("array<double>")
-
-
-def _rescored(rows: DataFrame, seen: DataFrame, m: dict) -> DataFrame:
-    """(at, more, add, change) of each row of a document and word beyond the known: its count's part of both scores, and what its own class changes."""
-    far = rows.where("word IS NOT NULL AND next IS NULL").select("row", "word", "n", "cells").join(seen, F.col("word") == F.col("of"), "left")
-    more, add = F.when(F.col("c") > 0, F.col("n")).otherwise(0), F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    if (moved := m["moved"]) is None:
-        return far.select(F.col("row").alias("at"), more.alias("more"), add.alias("add"), F.lit(0.0).alias("change"))
-    step, rare = _numbers(m["step"]), _numbers(m["rare"])
-    to = lambda c, x: F.get(step, F.when(x < CLASSES, F.col(c) * CLASSES + x).otherwise((x - CLASSES) * CLASSES + F.col(c)))
-    steps = F.aggregate(F.coalesce("cells", F.array().cast("array<int>")), F.lit(0.0), lambda acc, x: acc + to("class", x) - to("old", x))
-    change = F.when(F.col("class").isNotNull(), F.col("n") * (F.get(rare, F.col("class")) - F.get(rare, F.col("old"))) + steps).otherwise(0.0)
-    one = far.join(moved.select("far", "old", "class"), F.col("word") == F.col("far"), "left").select(F.col("row").alias("at"), more.alias("more"), add.alias("add"), change.alias("change"))
-    pairs = rows.where("next IS NOT NULL").select("row", "word", "next", "n", F.get("cells", F.lit(0)).cast("long").alias("k"))
-    two = _both_moved(pairs, moved).select(F.col("row").alias("at"), F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("add"), (F.col("n") * (F.get(step, F.col("to").cast("int")) - F.get(step, F.col("k").cast("int")))).alias("change"))
-    return one.union(two)
+    one = np.zeros((kinds.size, CLASSES))
+    one[np.arange(kinds.size), of] = 1
+    known = Places(hashes(words))
+    shared = share(known)
+    near = d.mapInArrow(_contexts(top, room, of, 64 + n // BLOCK), "block int, words binary, endings binary, n binary, near binary")
+    found = ws.keep(near.groupBy("block").applyInArrow(_exchanged(shared, one.T @ grams @ one, room, of), "word int, h long, c long, old int, class int"))
+    shared.unpersist()
+    moved = found.where("word >= 0 AND old <> class").select("word", "class").toArrow()
+    known_class[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
+    scale = np.log10(n + 0.5 * (v + 1))
+    return {"index": {w: k for k, w in enumerate(words)}, "kinds": kinds, "of": of, "known": known, "known_class": known_class, "own": own, "counts": c, "scale": scale, "total": int(n), "found": found}
+
+
+def _sizes(m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and words of each class."""
+    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+    at = np.array([m["index"][w] for w in m["kinds"]], np.int64)
+    at = at[m["counts"][at] > 0]
+    np.add.at(n, m["known_class"][at], m["counts"][at])
+    np.add.at(v, m["known_class"][at], 1)
+    for r in m["found"].groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most CLASSES
+        n[r["class"]] += r.n
+        v[r["class"]] += r.v
+    return n, v
 
 
 def score_texts(docs: DataFrame, room: int = FREQUENT) -> DataFrame:
@@ -485,17 +501,26 @@ def score_texts(docs: DataFrame, room: int = FREQUENT) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = ws.keep(d.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     m = fit(d, counts, room, ws)
-    n, model = m["total"], spark.sparkContext.broadcast({k: x for k, x in m.items() if k != "moved"})
-    rows = ws.keep(d.mapInArrow(_score(model), "row long, doc_id long, word binary, next binary, n long, n_known long, base double, score double, cells array<int>"))
-    seen = counts.select(F.col("word").alias("of"), "c")
-    late = _rescored(rows, seen, m).groupBy("at").agg(F.sum("more").alias("more"), F.sum("add").alias("add"), F.sum("change").alias("change"))
-    out = rows.where("word IS NULL").join(late, F.col("row") == F.col("at"), "left").select(
+    ws.drop(counts)
+    logs = np.log10(np.append(m["counts"], 0) + 0.5)  # the last is for words that are not known
+    model = spark.sparkContext.broadcast({"known": m["known"], "class": np.append(m["known_class"], 0).astype(np.uint8), "of": m["of"].astype(np.uint8), "room": room, "end": m["index"][END], "seen": np.append(m["counts"] > 0, False).astype(float), "base": logs - m["scale"], "emit": logs})
+    rows = ws.keep(d.mapInArrow(_encoded(model), "row long, doc_id long, training boolean, n long, n_known long, base double, emit double, cls binary, far array<long>, at array<int>"))
+    far = rows.select("row", F.explode(F.arrays_zip("far", "at")).alias("x")).select("row", F.col("x.far").alias("far"), F.col("x.at").alias("at"))
+    seen = m["found"].where("word < 0").select("h", "c", F.when(F.col("old") != F.col("class"), F.col("class")).alias("class"))
+    late = far.join(seen, F.col("far") == F.col("h")).groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5))).alias("add"), F.collect_list(F.col("at") * CLASSES + F.col("class")).alias("moved"))
+    more, add = F.coalesce("more", F.lit(0)), F.coalesce("add", F.lit(0.0))
+    ready = ws.keep(rows.join(late.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left").select("cls", "moved", (F.col("emit") + add).alias("emit"), "doc_id", "n", (F.col("n_known") + more).alias("n_known"), (F.col("base") + add).alias("base"), "training"))
+    ws.drop(rows)
+    big = _cells(ready.where("training").select("cls", "moved").mapInArrow(_steps, "k long, n long"), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    step = np.log10((big + 0.5) / (big.sum(1, keepdims=True) + 0.5 * CLASSES))
+    cn, cv = _sizes(m)
+    out = ready.drop("training").mapInArrow(_score(step, -np.log10(cn + 0.5 * (cv + 1))), "score double, doc_id long, n long, n_known long, base double").select(
         "doc_id",
         (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1).alias("held_out"),
         F.col("n").alias("n_tokens"),
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce(F.col("add") + F.col("change"), F.lit(0.0))).alias("score"),
+        "n_known",
+        F.lit(int(m["total"])).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
     )
     return ws.finish(out)
